@@ -72,6 +72,7 @@ class Tables:
         self.script = np.zeros(LIMIT, np.uint8)
         self.wordy = np.zeros(LIMIT, bool)
         self.attention = np.zeros(LIMIT, bool)
+        self.accented = np.zeros(LIMIT, bool)
         extra: list[int] = []
         pairs: dict[tuple[int, int], int] = {}
         for cp in range(LIMIT):
@@ -92,6 +93,7 @@ class Tables:
                 self.length[cp] = len(out)
                 self.offset[cp] = LIMIT + len(extra)
                 extra.extend(map(ord, out))
+            self.accented[cp] = any(map(unicodedata.combining, out))
             if unicodedata.normalize("NFC", out) != ch or ccc:
                 self.attention[cp] = True
             parts = unicodedata.decomposition(ch).split()
@@ -254,8 +256,8 @@ def _compose(cps: np.ndarray, starts: np.ndarray, t: Tables) -> tuple[np.ndarray
     return cps, ends
 
 
-def plain_texts(texts: pa.Array, context: bool = False) -> tuple[pa.Array, np.ndarray]:
-    """Plain form of every text, and which texts changed.
+def plain_texts(texts: pa.Array, context: bool = False, marks: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Plain form of every text, and which texts changed. Without ``marks``, letters lose their accents.
 
     With ``context``, a word made of look-alikes only also goes to the script of its row's other words; this is
     for comparing texts, not part of the plain form.
@@ -268,6 +270,8 @@ def plain_texts(texts: pa.Array, context: bool = False) -> tuple[pa.Array, np.nd
     need = _rows_with(t.attention[cps], starts)
     need |= np.stack([_rows_with(script == s, starts) for s in (LATIN, GREEK, CYRILLIC)]).sum(0) > 1
     changed = np.zeros(len(texts), bool)
+    if not marks:
+        need |= _rows_with(t.accented[cps], starts)
     if not need.any():
         return texts, changed
     part = cps[np.repeat(need, np.diff(starts))]
@@ -275,6 +279,10 @@ def plain_texts(texts: pa.Array, context: bool = False) -> tuple[pa.Array, np.nd
     part, bounds = _expand(part, bounds, t)
     part = _order_marks(part, t)
     part = _one_script(part, bounds, t, context)
+    if not marks:
+        bare = t.klass[part] == 0
+        kept = np.concatenate([[0], np.cumsum(bare)])
+        part, bounds = part[bare], kept[bounds]
     part, bounds = _compose(part, bounds, t)
     new = to_arrow(part, bounds)
     if new.type != texts.type:
@@ -286,14 +294,14 @@ def plain_texts(texts: pa.Array, context: bool = False) -> tuple[pa.Array, np.nd
     return texts, changed
 
 
-def with_plain(df: DataFrame, column: str, out: str = "plain", changed: str | None = None, context: bool = False) -> DataFrame:
+def with_plain(df: DataFrame, column: str, out: str = "plain", changed: str | None = None, context: bool = False, marks: bool = True) -> DataFrame:
     """``df`` with the plain form of ``column`` and, if named, whether it differs. Existing columns of these names are replaced."""
     base = df.drop(*[c for c in (out, changed) if c and c != column])
     place = base.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new, differs = plain_texts(batch.column(place), context)
+            new, differs = plain_texts(batch.column(place), context, marks)
             columns, names = list(batch.columns), list(batch.schema.names)
             if out == column:
                 columns[place] = new

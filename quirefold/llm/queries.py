@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chars, lines
+from quirefold.llm import chars, groups, lines, overlap
 from quirefold.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found_pairs(table(spark, d, "manifest"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "manifest"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.belong_together(table(spark, d, "manifest"))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    return groups.split_assignment(table(spark, d, "manifest"), table(spark, d, "split_target"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return groups.split_report(p4_splits(spark, d), table(spark, d, "split_target"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return chars.not_plain(table(spark, d, "text_span"), table(spark, d, "annotation"))
 
