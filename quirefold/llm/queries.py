@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chars, groups, lines, overlap
+from quirefold.llm import chars, groups, lines, overlap, pieces, sentences
 from quirefold.session import table
 
 
@@ -19,6 +19,19 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "manifest"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.page_and_unit_sentences(table(spark, d, "page_extraction"), table(spark, d, "prediction"))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized_pieces(table(spark, d, "prediction"), table(spark, d, "annotation"), table(spark, d, "size_limit"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items that the splitter cut."""
+    return p3_pieces(spark, d).where("pieceno > 0").select("itemkind", "bookid", "itemno").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.belong_together(table(spark, d, "manifest"))
 
