@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chars, groups, lines, overlap, pieces, sentences
+from quirefold.llm import chars, groups, lines, mixing, overlap, packing, pieces, quality, sentences
 from quirefold.session import table
 
 
@@ -74,6 +74,35 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.join(found, ["bookid", "pageindex", "lineindex"], "left_semi").distinct()
 
 
+def _capacity(spark: SparkSession, d: str) -> int:
+    return int(table(spark, d, "size_limit").where(F.col("itemkind") == "container").first()["maxsize"])
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), _capacity(spark, d))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p7_containers(spark, d), _capacity(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(p8_mixture(spark, d), table(spark, d, "mix_target"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    measured = quality.with_statistics(table(spark, d, "documents"), ["doc_id"], "text")
+    return measured.select("doc_id", "n_chars_visible", "n_words", *[F.round(c, 6).alias(c) for c in quality.FIELDS[2:]])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
