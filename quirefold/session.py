@@ -16,7 +16,7 @@ _SHIPPED: set[str] = set()
 
 def build_session(app: str = "quirefold", cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A local session with the settings the operators assume: UTC, adaptive execution with skew joins, Arrow."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -27,6 +27,8 @@ def build_session(app: str = "quirefold", cpus: int | str = "*", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    settle(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settle(spark: SparkSession) -> None:
+    """Session settings that results depend on.
+
+    Spark 4.1 lets a union keep its children's hash partitioning; with adaptive coalescing the children's partitions then need not
+    correspond, and an aggregate above the union that trusts them gives a key twice. So unions give none.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application, so Arrow functions can be imported there."""
+    settle(spark)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
