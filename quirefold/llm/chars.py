@@ -173,12 +173,14 @@ def _expand(cps: np.ndarray, starts: np.ndarray, t: Tables) -> tuple[np.ndarray,
     return t.flat[source], ends[starts]
 
 
-def _order_marks(cps: np.ndarray, t: Tables) -> np.ndarray:
-    """Canonical order: within a run of marks, stable by class."""
+def _order_marks(cps: np.ndarray, starts: np.ndarray, t: Tables) -> np.ndarray:
+    """Canonical order: within a run of marks of one row, stable by class."""
     klass = t.klass[cps]
     if not ((klass[1:] < klass[:-1]) & (klass[1:] > 0)).any():
         return cps
-    run = np.cumsum(klass == 0)
+    first = np.zeros(len(cps) + 1, bool)
+    first[starts] = True
+    run = np.cumsum((klass == 0) | first[:-1])
     return cps[np.lexsort((np.arange(len(cps)), klass, run))]
 
 
@@ -277,7 +279,7 @@ def plain_texts(texts: pa.Array, context: bool = False, marks: bool = True) -> t
     part = cps[np.repeat(need, np.diff(starts))]
     bounds = np.concatenate([[0], np.cumsum(np.diff(starts)[need])])
     part, bounds = _expand(part, bounds, t)
-    part = _order_marks(part, t)
+    part = _order_marks(part, bounds, t)
     part = _one_script(part, bounds, t, context)
     if not marks:
         bare = t.klass[part] == 0

@@ -107,5 +107,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+SQL = {
+    "p3_found": """
+        WITH l AS (SELECT itemkind, maxsize FROM size_limit),
+        u AS (SELECT DISTINCT 'reading_unit' itemkind, bookid, no, e.text AS t FROM (SELECT bookid, unnest(readingunits) e, generate_subscripts(readingunits, 1) - 1 no FROM prediction)),
+        b AS (SELECT DISTINCT 'block' itemkind, bookid, no, e.text AS t FROM (SELECT bookid, unnest(blocks) e, generate_subscripts(blocks, 1) - 1 no FROM annotation))
+        SELECT DISTINCT itemkind, bookid, CAST(no AS INT) AS itemno FROM (SELECT * FROM u UNION ALL SELECT * FROM b) JOIN l USING (itemkind) WHERE length(t) > maxsize""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

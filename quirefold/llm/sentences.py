@@ -126,7 +126,7 @@ def _closing(text: str, at: int, end: int, block_start: bool) -> float:
             return -9.0
     if c in ",;:.!?…؟،؛、，；：)]}’”»」』）" and c != "’":
         return -9.0
-    after = text[nxt:].lstrip("“”„\"'«‘’([{¿¡—–- \n「『（") if not c.isalnum() else text[nxt : nxt + 40]
+    after = text[nxt : nxt + 60].lstrip("“”„\"'«‘’([{¿¡—–- \n「『（") if not c.isalnum() else text[nxt : nxt + 40]
     first = after[:1]
     dash = c in "—–-"
     if first and _lower(first):
@@ -237,11 +237,13 @@ def _spans(text: str) -> list[tuple[int, int]]:
     shut = label.end() if label else 0
     candidates: list[tuple[int, float]] = []
     german = "„" in text or "‚" in text
+    quotes, seen = 0, 0  # straight quotes so far
     for m in TERM[german].finditer(text):
         at, end = m.span()
         if '"' in m[0] and end < len(text) and not text[end].isspace():
             q = text.index('"', at)
-            if text.count('"', 0, q) % 2 == 0 and text[q + 1 : q + 2].isalnum():
+            quotes, seen = quotes + text.count('"', seen, q), q
+            if quotes % 2 == 0 and text[q + 1 : q + 2].isalnum():
                 end = q
         if end <= shut:
             continue
