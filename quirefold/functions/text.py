@@ -99,10 +99,10 @@ def clean_heading(c: Column) -> Column:
 
 def navigation_title(c: Column) -> Column:
     """A heading as navigation shows it: spaced-out words and split numbers are mended."""
-    t = clean_line(c)
-    t = F.regexp_replace(t, "(?i)^C\\s+H\\s+A\\s+P\\s+T\\s+E\\s+R(?![A-Za-z0-9_])", "CHAPTER")
-    t = F.regexp_replace(t, "(?i)^P\\s+A\\s+R\\s+T(?![A-Za-z0-9_])", "PART")
-    return F.regexp_replace(t, "(?i)^(CHAPTER\\s+\\d)\\s+(\\d)(?![A-Za-z0-9_])", "$1$2")
+    t = squeeze(F.regexp_replace(c, "\\x08|\ufffd+", " "))
+    t = F.regexp_replace(t, "(?i)C\\s+H\\s+A\\s+P\\s+T\\s+E\\s+R", "CHAPTER")
+    t = F.regexp_replace(t, "(?i)P\\s+A\\s+R\\s+T", "PART")
+    return F.regexp_replace(t, "(?i)^(CHAPTER\\s+)(\\d)\\s+(\\d)(?![A-Za-z0-9_])", "$1$2$3")
 
 
 def count_words(c: Column) -> Column:
@@ -143,6 +143,14 @@ def title_kind(c: Column) -> Column:
     return found
 
 
+NAMED_KEY = "|".join(f"(?:{pattern})" for _, _, on, pattern in TITLE_KINDS if on == "key")
+
+
+def names_section(key_: Column, raw: Column) -> Column:
+    """Whether a title names a section kind, from its key: one pattern instead of a ladder."""
+    return key_.rlike(NAMED_KEY) | raw.rlike(f"(?i){PART_TITLE}") | raw.rlike(f"(?i){CHAPTER_TITLE}")
+
+
 def _dice(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).otherwise(0.0)
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import curation, layout, match, progress, scans, scorecard, units
+from quirefold.operators import curation, layout, match, metadata, navigation, progress, scans, scorecard, units
 from quirefold.plans import sqltext as S
-from quirefold.session import table
+from quirefold.session import cut, table
 
 PAGE = 46  # lines of a text-only page
 
@@ -433,3 +433,50 @@ r AS (SELECT bookid, CAST(sum(len(regexp_extract_all(coalesce(u.text, ''), '[\\p
 SELECT s.bookid, pages, sw AS sourcewords, rw AS readingwords, round_even(rw / greatest(1, sw), 4) AS ratio, n AS units, coalesce(big, 0) AS oversized, coalesce(mx, 0) AS maxwords FROM s JOIN r ON r.bookid = s.bookid""")
 def book_audit(spark: SparkSession, d: str) -> DataFrame:
     return scorecard.book_audit(table(spark, d, "page_extraction"), progress.unit_rows(table(spark, d, "prediction")))
+
+
+# --- navigation and metadata ----------------------------------------------------------------------------------------
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    return navigation.page_evidence(page_pages(spark, d), layout.leading_fonts(table(spark, d, "text_span")))
+
+
+@query(f"""WITH {ONE_PAGE}, l AS (SELECT bookid, pageindex, unnest(string_split(coalesce(text, ''), chr(10))) raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) no FROM pages1),
+c AS (SELECT *, {S.squeeze('raw')} t FROM l), f AS (SELECT *, row_number() OVER (PARTITION BY bookid, pageindex ORDER BY no) r FROM c WHERE t <> ''),
+a AS (SELECT bookid, pageindex, sum(CASE WHEN r <= 4 AND regexp_matches(t, '^(table of )?contents$', 'i') THEN 1 ELSE 0 END) lab, sum(CASE WHEN regexp_matches(t, '^\\d{{1,4}}$') THEN 1 ELSE 0 END) nums, sum(CASE WHEN regexp_matches(t, '^part\\s+[IVX\\d]+\\b', 'i') THEN 1 ELSE 0 END) parts FROM f GROUP BY 1, 2),
+d AS (SELECT bookid, pageindex, sum(CASE WHEN regexp_matches(raw, '[.�·]{{3,}}\\s*\\d{{1,4}}[.]?\\s*$') THEN 1 ELSE 0 END) leads FROM l GROUP BY 1, 2)
+SELECT d.bookid, d.pageindex, coalesce(lab, 0) > 0 OR leads >= 4 OR (coalesce(nums, 0) >= 6 AND coalesce(parts, 0) >= 2) AS istable FROM d LEFT JOIN a ON a.bookid = d.bookid AND a.pageindex = d.pageindex""")
+def contents_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d).select("bookid", "pageindex", "istable")
+
+
+@query()
+def source_chapters(spark: SparkSession, d: str) -> DataFrame:
+    return navigation.source_chapters(_evidence(spark, d))
+
+
+@query()
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    pages, lines = _lines(spark, d)
+    evidence = cut(_evidence(spark, d))
+    kept = layout.without_running(lines, layout.running_clusters(lines, pages))
+    found = cut(layout.blocks(kept, layout.body_sizes(kept)))
+    titles = records(spark, d).select(F.col("id").alias("bookid"), "title").join(pages.select("bookid").distinct(), "bookid", "left_semi")
+    return navigation.sections(found, evidence, navigation.source_chapters(evidence), pages, titles)
+
+
+@query()
+def book_metadata(spark: SparkSession, d: str) -> DataFrame:
+    pages, lines = _lines(spark, d)
+    lines = cut(lines)
+    given = records(spark, d).select(F.col("id").alias("bookid"), "title", T.file_name(F.col("localpath")).alias("filename")).join(pages.select("bookid").distinct(), "bookid", "left_semi")
+    return metadata.book_metadata(lines, layout.blocks(lines, layout.body_sizes(lines)), given)
+
+
+@query(f"""WITH {ONE_RECORD}, t AS (SELECT id, array_to_string(list_concat([coalesce(doi, '')], isbns), ' | ') t FROM man1)
+SELECT id, regexp_replace(unnest(regexp_extract_all(t, '(?i)(97[89][\\s-]?[\\dX][\\dX\\s-]{{8,20}}[\\dX])', 1)), '[\\s-]+', '', 'g') AS isbn FROM t""")
+def record_isbns(spark: SparkSession, d: str) -> DataFrame:
+    t = F.array_join(F.concat(F.array(F.coalesce("doi", F.lit(""))), "isbns"), " | ")
+    found = records(spark, d).select("id", F.explode(F.regexp_extract_all(t, F.lit("(?i)(97[89][\\s-]?[\\dX][\\dX\\s-]{8,20}[\\dX])"), F.lit(1))).alias("x"))
+    return found.select("id", F.regexp_replace("x", "[\\s-]+", "").alias("isbn"))
