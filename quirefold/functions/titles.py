@@ -80,3 +80,8 @@ def plausible(text: str) -> bool:
 
 def entry_kind(title: str) -> str:
     return "frontMatter" if FRONT.match(title) else "backMatter" if BACK.match(title) else "part" if re.match(r"(?i)(part|book)\s", title) else "chapter"
+
+
+def context(text: str | None) -> str:
+    """Letters and digits in small letters, without NFKC."""
+    return SPACE.sub(" ", NOT_KEY.sub(" ", (text or "").lower())).strip()

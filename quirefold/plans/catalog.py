@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.operators import curation, layout, match, metadata, navigation, progress, scans, scorecard, units
 from quirefold.plans import sqltext as S
 from quirefold.session import cut, table
+from quirefold.sources import epub
 
 PAGE = 46  # lines of a text-only page
 
@@ -480,3 +482,33 @@ def record_isbns(spark: SparkSession, d: str) -> DataFrame:
     t = F.array_join(F.concat(F.array(F.coalesce("doi", F.lit(""))), "isbns"), " | ")
     found = records(spark, d).select("id", F.explode(F.regexp_extract_all(t, F.lit("(?i)(97[89][\\s-]?[\\dX][\\dX\\s-]{8,20}[\\dX])"), F.lit(1))).alias("x"))
     return found.select("id", F.regexp_replace("x", "[\\s-]+", "").alias("isbn"))
+
+
+# --- EPUB -----------------------------------------------------------------------------------------------------------
+
+
+def _packed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as an EPUB archive, a chapter per blank-line part."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.regexp_replace("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]", "").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            made = [epub.write_book(f"Document {i}", [(f"Chapter {k + 1}", [p]) for k, p in enumerate(t.split("\n\n"))]) for i, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.epub" for i in ids]), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return docs.mapInArrow(run, "path string, content binary")
+
+
+@query("""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '[\\t\\n\\x0b\\f\\r\\p{Z}]+', ' ', 'g')) t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id || '.epub' AS file, count(*) AS headings, count(*) FILTER (t <> '') AS paragraphs, CAST(coalesce(sum(length(t)), 0) AS BIGINT) AS characters FROM p GROUP BY 1""")
+def epub_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as EPUB archives and read again: headings, paragraphs and their characters."""
+    blocks = epub.book_blocks(epub.read_books(_packed_documents(spark, d)))
+    prose = F.col("kind") == "prose"
+    return blocks.groupBy("file").agg(F.sum((~prose).cast("long")).alias("headings"), F.sum(prose.cast("long")).alias("paragraphs"), F.coalesce(F.sum(F.when(prose, F.length("text"))), F.lit(0)).alias("characters"))
+
+
+@query("SELECT 'epub' AS format, count(*) AS n FROM documents WHERE text IS NOT NULL")
+def book_formats(spark: SparkSession, d: str) -> DataFrame:
+    return _packed_documents(spark, d).groupBy(epub.book_format(F.col("content")).alias("format")).agg(F.count("*").alias("n"))
