@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import curation, layout, match, metadata, navigation, progress, scans, scorecard, units
+from quirefold.operators import curation, layout, match, metadata, navigation, progress, repairs, scans, scorecard, units
 from quirefold.plans import sqltext as S
 from quirefold.session import cut, table
 from quirefold.sources import epub
@@ -209,6 +209,14 @@ def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return pages, layout.page_lines(pages, table(spark, d, "text_span"))
 
 
+def _blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and their blocks; the lines are written once, as running lines, sizes and blocks all read them."""
+    pages, lines = _lines(spark, d)
+    lines = cut(lines)
+    kept = layout.without_running(lines, layout.running_clusters(lines, pages))
+    return pages, layout.blocks(kept, layout.body_sizes(kept))
+
+
 @query()
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d)[1]
@@ -228,9 +236,7 @@ def running_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of every page after running lines are gone."""
-    pages, lines = _lines(spark, d)
-    kept = layout.without_running(lines, layout.running_clusters(lines, pages))
-    return layout.blocks(kept, layout.body_sizes(kept))
+    return _blocks(spark, d)[1]
 
 
 @query()
@@ -460,10 +466,8 @@ def source_chapters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    pages, lines = _lines(spark, d)
-    evidence = cut(_evidence(spark, d))
-    kept = layout.without_running(lines, layout.running_clusters(lines, pages))
-    found = cut(layout.blocks(kept, layout.body_sizes(kept)))
+    pages, found = _blocks(spark, d)
+    evidence, found = cut(_evidence(spark, d)), cut(found)
     titles = records(spark, d).select(F.col("id").alias("bookid"), "title").join(pages.select("bookid").distinct(), "bookid", "left_semi")
     return navigation.sections(found, evidence, navigation.source_chapters(evidence), pages, titles)
 
@@ -512,3 +516,38 @@ def epub_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'epub' AS format, count(*) AS n FROM documents WHERE text IS NOT NULL")
 def book_formats(spark: SparkSession, d: str) -> DataFrame:
     return _packed_documents(spark, d).groupBy(epub.book_format(F.col("content")).alias("format")).agg(F.count("*").alias("n"))
+
+
+# --- smaller operators ----------------------------------------------------------------------------------------------
+
+
+@query()
+def repaired_units(spark: SparkSession, d: str) -> DataFrame:
+    return repairs.repaired_units(progress.unit_rows(table(spark, d, "prediction")))
+
+
+@query()
+def supplements(spark: SparkSession, d: str) -> DataFrame:
+    return repairs.supplements(_blocks(spark, d)[1], progress.unit_rows(table(spark, d, "prediction")))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT bookid, coalesce(trim(title), '') = '' a, readingstartpage IS NULL OR readingstartpage < 0 b, coalesce(bodywordcount < 0, false) c,
+  len(list_filter(coalesce(sections, []), lambda s: s.kind IS NULL OR s.kind NOT IN ({', '.join(S.lit(k) for k in (*T.FRONT_KINDS, *T.BACK_KINDS, *T.BODY_KINDS, 'acknowledgments'))}))) > 0 d,
+  len(list_filter(coalesce(sections, []), lambda s: s.startpage < 0 OR s.level < 0)) > 0 e, len(list_filter(coalesce(blocks, []), lambda b: coalesce(trim(b.text), '') = '')) > 0 f FROM annotation)
+SELECT bookid, 'title' AS rule FROM g WHERE a UNION SELECT bookid, 'readingstartpage' FROM g WHERE b UNION SELECT bookid, 'bodywordcount' FROM g WHERE c UNION SELECT bookid, 'sectionkind' FROM g WHERE d UNION SELECT bookid, 'sectionplace' FROM g WHERE e UNION SELECT bookid, 'blocktext' FROM g WHERE f""")
+def gold_violations(spark: SparkSession, d: str) -> DataFrame:
+    return repairs.gold_violations(table(spark, d, "annotation"))
+
+
+@query(f"""WITH {OFFSETS}, r AS (SELECT bookid, sectionno, min(unitno) a FROM us WHERE sectionno IS NOT NULL GROUP BY 1, 2), s AS (SELECT sections.bookid, sections.sectionno, sections.kind, coalesce(a, -1) a FROM sections LEFT JOIN r ON r.bookid = sections.bookid AND r.sectionno = sections.sectionno)
+SELECT bookid, CAST(coalesce(arg_min(a, sectionno) FILTER (kind IN ({', '.join(S.lit(k) for k in T.BODY_KINDS)}) AND a >= 0 AND kind NOT IN ('foreword', 'preface')), arg_min(a, sectionno) FILTER (kind IN ({', '.join(S.lit(k) for k in T.BODY_KINDS)}) AND a >= 0), 0) AS INT) AS startunit FROM s GROUP BY 1""")
+def reading_starts(spark: SparkSession, d: str) -> DataFrame:
+    own = progress.section_rows(table(spark, d, "prediction"))
+    placed = progress.units_in_sections(progress.unit_rows(table(spark, d, "prediction")), own)
+    ranges = repairs.unit_ranges(own.withColumn("parentno", F.lit(None).cast("int")), placed.where(F.col("sectionno").isNotNull()).select("bookid", "unitno", "sectionno"), depth=1)
+    return repairs.reading_starts(ranges).select("bookid", F.col("startunit").cast("int").alias("startunit"))
+
+
+@query()
+def unsteady_progress(spark: SparkSession, d: str) -> DataFrame:
+    return repairs.unsteady_progress(progress.progress(_offsets(spark, d)))
