@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from quirefold.operators.scans import running_sum, spread
+
 # Fixed values of the method.
 QUERY_WORDS, LEAST_WORDS, LEAST_DISTINCT, MOST_PLACES, BUCKET, CANDIDATES = 400, 16, 10, 80, 32, 96
 BEFORE, BEHIND, MATCH, MISS = 48, 80, 3, -2
 SHARE, SCORE, RIVAL = 0.65, 0.5, 0.85
 CHUNK = 512
+TOGETHER = 32  # windows scored side by side
 BROKEN = re.compile(r"([^\W\d_])[-‐]\s*\n\s*(?=[^\W\d_])")
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -43,8 +46,6 @@ def words(texts: pd.Series) -> pd.Series:
 def book_words(units: DataFrame) -> DataFrame:
     """bookid, pos, unitno, word: all words of a book in order, from its units (bookid, unitno, text)."""
     own = units.select("bookid", F.col("unitno").cast("long").alias("unitno"), words("text").alias("w"))
-    from quirefold.operators.scans import running_sum
-
     sized = running_sum(own.withColumn("n", F.size("w").cast("long")), ["bookid"], "unitno", "n", "first")
     return sized.select("bookid", "unitno", "first", F.posexplode("w").alias("i", "word")).select("bookid", (F.col("first") + F.col("i")).alias("pos"), "unitno", "word")
 
@@ -119,6 +120,30 @@ def align(query: list[str], text: list[str], offset: int) -> list[tuple[int, int
     return found
 
 
+def best_scores(queries: list[list[str]], texts: list[list[str]]) -> np.ndarray:
+    """The best local alignment score of each pair, all pairs side by side and without keeping a table.
+
+    Shorter ones are filled up with words that equal nothing; those can only lower a score, so the best is not touched.
+    """
+    codes: dict[str, int] = {}
+    n, m = max(map(len, queries), default=0), max(map(len, texts), default=0)
+    q, t = np.full((len(queries), n), -1, np.int32), np.full((len(texts), m), -2, np.int32)
+    for k, (a, b) in enumerate(zip(queries, texts)):
+        q[k, : len(a)] = [codes.setdefault(w, len(codes)) for w in a]
+        t[k, : len(b)] = [codes.setdefault(w, len(codes)) for w in b]
+    slope = (2 * np.arange(m + 1)).astype(np.int16)
+    last, best = np.zeros((len(queries), m + 1), np.int16), np.zeros(len(queries), np.int16)
+    row = np.zeros_like(last)
+    for i in range(n):
+        step = np.where(t == q[:, i : i + 1], np.int16(MATCH), np.int16(MISS))
+        np.maximum(last[:, :-1] + step, last[:, 1:] + np.int16(MISS), out=row[:, 1:])
+        np.maximum(row, 0, out=row)
+        row[:, 0] = 0
+        last = np.maximum.accumulate(row + slope, axis=1) - slope
+        np.maximum(best, last.max(1), out=best)
+    return best.astype(np.int64)
+
+
 def same_passage(a: tuple, b: tuple) -> bool:
     shared = max(0, min(a[3], b[3]) - max(a[2], b[2]))
     return shared >= min(a[3] - a[2], b[3] - b[2]) * 0.5
@@ -150,12 +175,17 @@ def match_scans(scans: DataFrame, units: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             query, w0, t = (batch.column(i).to_pylist() for i in (3, 4, 5))
-            found = [[dict(zip(("score", "matches", "start", "end", "anchor"), r)) for r in align(q, x, o)] for q, o, x in zip(query, w0, t)]
+            # A match scores half of what is possible, its rival 85 % of it; a window below that changes nothing and is not traced.
+            worth = []
+            for k in range(0, len(query), TOGETHER):
+                q, x = query[k : k + TOGETHER], t[k : k + TOGETHER]
+                worth += (best_scores(q, x) >= RIVAL * SCORE * MATCH * np.array([len(a) for a in q])).tolist()
+            found = [[dict(zip(("score", "matches", "start", "end", "anchor"), r)) for r in align(q, x, o)] if w else [] for q, o, x, w in zip(query, w0, t, worth)]
             kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("score", "matches", "start", "end", "anchor")]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(q) for q in query], pa.int32()), pa.array(found, kind)], names=["bookid", "scanid", "rank", "size", "found"])
 
     sid = dict(scans.dtypes)["scanid"]
-    aligned = part.mapInArrow(run, f"bookid string, scanid {sid}, rank int, size int, found array<struct<score:bigint,matches:bigint,start:bigint,end:bigint,anchor:bigint>>")
+    aligned = spread(part, ["bookid", "scanid", "rank"]).mapInArrow(run, f"bookid string, scanid {sid}, rank int, size int, found array<struct<score:bigint,matches:bigint,start:bigint,end:bigint,anchor:bigint>>")
     gathered = aligned.groupBy("bookid", "scanid").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("rank", "found"))).alias("f"))
 
     @pandas_udf("status string, anchor bigint, matches bigint")

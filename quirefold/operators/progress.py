@@ -104,11 +104,12 @@ def remap(anchors: DataFrame, units: DataFrame) -> DataFrame:
     prefix = prefix.select("bookid", "anchorid", "unitno", F.lit(0.99).alias("confidence"), F.lit("prefix").alias("how"))
     rest = rest.join(prefix, ["bookid", "anchorid"], "left_anti").withColumn("g", T.context_grams(F.col("contexttext")))
     grams = units.select("bookid", "unitno", F.explode(T.context_grams(F.col("contexttext"))).alias("gram"))
-    sharing = rest.select("bookid", "anchorid", F.explode("g").alias("gram")).join(grams, ["bookid", "gram"]).select("bookid", "anchorid", "unitno").distinct()
+    shared = rest.select("bookid", "anchorid", F.explode("g").alias("gram")).join(grams, ["bookid", "gram"]).groupBy("bookid", "anchorid", "unitno").agg(F.count("*").alias("n"))
     pages = units.select("bookid", "unitno", F.explode("sourcepages").alias("pageindex"))
-    near = nearest(rest.select("bookid", "anchorid", "pageindex"), pages, ["bookid"], "pageindex", "unitno").where(F.col("unitno").isNotNull()).select("bookid", "anchorid", "unitno")
-    pairs = sharing.unionByName(near).distinct().join(rest.select("bookid", "anchorid", "pageindex", "g"), ["bookid", "anchorid"]).join(units.select("bookid", "unitno", F.col("contexttext").alias("newtext"), "sourcepages"), ["bookid", "unitno"])
-    context = T.gram_similarity(F.col("g"), T.context_grams(F.col("newtext")))
+    near = nearest(rest.select("bookid", "anchorid", "pageindex"), pages, ["bookid"], "pageindex", "unitno").where(F.col("unitno").isNotNull()).select("bookid", "anchorid", "unitno", F.lit(0).cast("long").alias("n"))
+    pairs = shared.unionByName(near).groupBy("bookid", "anchorid", "unitno").agg(F.max("n").alias("n"))
+    pairs = pairs.join(rest.select("bookid", "anchorid", "pageindex", F.size("g").alias("a")), ["bookid", "anchorid"]).join(units.select("bookid", "unitno", F.size(T.context_grams(F.col("contexttext"))).alias("b"), "sourcepages"), ["bookid", "unitno"])
+    context = F.when((F.col("a") > 0) & (F.col("b") > 0), 2.0 * F.col("n") / (F.col("a") + F.col("b"))).otherwise(0.0)
     same = F.array_contains("sourcepages", F.col("pageindex"))
     distance = F.array_min(F.transform("sourcepages", lambda p: F.abs(p - F.col("pageindex"))))
     scored = pairs.withColumns({"context": context, "same": same}).withColumn("score", F.col("context") * 0.82 + F.when(F.col("same"), 0.16).otherwise(F.greatest(F.lit(0.0), 0.08 - distance * 0.02)))

@@ -67,6 +67,13 @@ def islands(df: DataFrame, group: list[str], order: list[str], joins: Column, ou
     return df.withColumn(out, F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by hash of the keys over as many partitions as shuffles have, for work that costs far more than its bytes tell: adaptive execution would merge small partitions to few tasks."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
 def map_groups(df: DataFrame, keys: list[str], order: list[str], run: Callable[[dict[str, list]], dict[str, list]], schema: StructType | str) -> DataFrame:
     """``run`` over each group of ``keys`` in ``order``: columns as lists in, columns as lists out. A group must fit in memory."""
     if isinstance(schema, str):
@@ -106,7 +113,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], run: Callable[[
         if out[target.names[0]]:
             yield pa.RecordBatch.from_pydict(out, schema=target)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)
+    return spread(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)
 
 
 def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:

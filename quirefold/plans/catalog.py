@@ -501,7 +501,7 @@ def _packed_documents(spark: SparkSession, d: str) -> DataFrame:
             made = [epub.write_book(f"Document {i}", [(f"Chapter {k + 1}", [p]) for k, p in enumerate(t.split("\n\n"))]) for i, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays([pa.array([f"{i}.epub" for i in ids]), pa.array(made, pa.binary())], names=["path", "content"])
 
-    return docs.mapInArrow(run, "path string, content binary")
+    return scans.spread(docs, ["doc_id"]).mapInArrow(run, "path string, content binary")
 
 
 @query("""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '[\\t\\n\\x0b\\f\\r\\p{Z}]+', ' ', 'g')) t FROM documents WHERE text IS NOT NULL)

@@ -23,6 +23,7 @@ def build_session(app: str = "quirefold", cpus: int | str = "*", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
         .getOrCreate()

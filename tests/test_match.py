@@ -52,3 +52,4 @@ def test_alignment_against_a_plain_table():
             for j, y in enumerate(b, 1):
                 table[i][j] = max(0, table[i - 1][j - 1] + (3 if x == y else -2), table[i - 1][j] - 2, table[i][j - 1] - 2)
         assert match.align(a, b, 0)[0][0] == max(map(max, table))
+        assert match.best_scores([a, a[:2]], [b, b])[0] == max(map(max, table))
