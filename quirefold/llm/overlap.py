@@ -19,6 +19,7 @@ from quirefold.llm.chars import with_plain
 from quirefold.session import cut
 
 GRAM = 4
+SALTS = 8  # a key that very many training records share is met by so many tasks
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 TRAINING = ("discovery",)
 EVALUATION = ("development", "locked-test", "control")
@@ -143,7 +144,9 @@ def cross_split_overlaps(records: DataFrame) -> DataFrame:
     own = records.select("id", "title", "split", sha_key(F.col("sha256"), F.col("bytes").cast("long")).alias("sha")).where(F.col("split").isin(*TRAINING, *EVALUATION)).distinct()
     own = own.withColumn("train", F.col("split").isin(*TRAINING))
     sums = own.where(F.col("sha").isNotNull()).select("id", "train", "sha").distinct()
-    by_sum = sums.where(~F.col("train")).select(F.col("id").alias("id_e"), "sha").join(sums.where("train").select(F.col("id").alias("id_t"), "sha"), "sha").select("id_e", "id_t", F.lit("checksum").alias("by"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    by_sum = sums.where(~F.col("train")).select(F.col("id").alias("id_e"), "sha", every.alias("salt")).join(sums.where("train").select(F.col("id").alias("id_t"), "sha", salt.alias("salt")), ["sha", "salt"]).select("id_e", "id_t", F.lit("checksum").alias("by"))
 
     titled = title_parts(own.where(F.col("title").isNotNull()), "title").select("id", "train", "full", "main", "numbers", "has_sub").distinct()
     # A record stands under its whole title and, if it has a subtitle, under the title without it. Two that both lack theirs are no pair.
@@ -153,9 +156,9 @@ def cross_split_overlaps(records: DataFrame) -> DataFrame:
     keys = stands.groupBy("key").agg(F.max(~F.col("train")).alias("in_e"), F.max("train").alias("in_t"))
     near = near_keys(keys)
     e = stands.where(~F.col("train")).select(F.col("id").alias("id_e"), F.col("key").alias("key_e"), F.col("numbers").alias("num_e"), F.col("short").alias("short_e"), F.col("has_sub").alias("sub_e"))
-    t = stands.where("train").select(F.col("id").alias("id_t"), F.col("key").alias("key_t"), F.col("numbers").alias("num_t"), F.col("short").alias("short_t"), F.col("has_sub").alias("sub_t"))
+    t = stands.where("train").select(F.col("id").alias("id_t"), F.col("key").alias("key_t"), F.col("numbers").alias("num_t"), F.col("short").alias("short_t"), F.col("has_sub").alias("sub_t"), salt.alias("salt"))
     fit = (F.col("num_e") == F.col("num_t")) & ~(F.col("short_e") & F.col("sub_t")) & ~(F.col("short_t") & F.col("sub_e"))
-    by_title = near.join(e, "key_e").join(t, "key_t").where(fit).select("id_e", "id_t", F.lit("title").alias("by"))
+    by_title = near.join(e, "key_e").withColumn("salt", every).join(t, ["key_t", "salt"]).where(fit).select("id_e", "id_t", F.lit("title").alias("by"))
     return by_sum.unionByName(by_title).distinct()
 
 
