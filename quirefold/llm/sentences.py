@@ -57,16 +57,17 @@ TERM = {german: re.compile(rf"[{SIGNS};;]+(?:\s?[»›]|[{re.escape(CLOSING)}{'
 OPENING_QUOTES, CLOSING_QUOTES = "“„«「『‘", "”»」』"
 INITIAL = re.compile(r"\w\.(?!\w)")
 SPACES = re.compile(r"\s+")
+ODD_SPACE = re.compile(r"[^\S\n ]")
 THAI = re.compile("[ก-๎]")
 WORD_BEFORE = re.compile(r"[^\s(\[{«“„\"‘—–/]*$")
 BREAKS_LEFT = re.compile(r"[\w]")
 _names, _numbers, _inside, _may_end = (set(x.split()) for x in (BEFORE_NAMES, BEFORE_NUMBERS, INSIDE, MAY_END))
-_months, _opener, _named = re.compile(rf"(?:{MONTHS})\b", re.I), re.compile(rf"\W*(?:{OPENERS})\b", re.I), re.compile(rf"(?:[^\W\d_][\w’'-]*\s){{1,2}}(?:{SPEECH_NAMED})\b")
+_months, _opener, _named = re.compile(rf"(?:{MONTHS})\b", re.I), re.compile(rf"\W*(?:{OPENERS})\b", re.I), re.compile(rf"(?:[^\W\d_][\w’'-]*\s){{1,2}}(?:{SPEECH_NAMED})\b(?!\W{{0,3}}[“\"‘«„])")
 CJK = re.compile("[぀-ヿ㐀-鿿]")
 
 
 def _lower(c: str) -> bool:
-    return c.islower() and c.upper() != c
+    return unicodedata.category(c) == "Ll"
 
 
 def _folded(word: str) -> str:
@@ -306,6 +307,8 @@ def sentence_units(text: str | None) -> list[tuple[int, int]]:
             clean = "".join([block[i] for i in where])
         if not clean.strip():
             continue
+        if ODD_SPACE.search(clean):
+            clean = ODD_SPACE.sub(" ", clean)
         spans = [(0, len(clean))] if structureless(clean) else _spans(clean)
         for s, e in spans:
             while s < e and clean[s].isspace():
