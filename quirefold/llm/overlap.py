@@ -32,6 +32,7 @@ EDITION_WORDS = (
     "new|revised|rev\\.?|enlarged|expanded|updated|corrected|illustrated|abridged|unabridged|annotated|digital|electronic|online|printed|print|paperback|hardback|hardcover|softcover|student|special|limited|"
     "international|facsimile|reprinted|reprint|open access|free|full text|large|pdf|epub|e-?book|kindle|html|scanned|scan|audiobook|web|resource|download|format|copy|version|printing|edition|edn\\.?|ed\\.?|ausgabe|auflage"
 )
+SURE_WORDS = "revised|expanded|enlarged|updated|electronic|digital|facsimile|edition|reprint"
 REMARK = f"(?:(?:{ORDINALS}|{EDITION_WORDS})(?:[\\s,]+(?:and\\s+)?(?:{ORDINALS}|{EDITION_WORDS}))*)"
 EDITION = f"(?:(?:{ORDINALS}|revised|new|enlarged|updated|corrected)\\s+)+(?:edition|edn\\.?|ed\\.?)"
 ARTICLES = "the|a|an|der|die|das|le|la|les|el|los|las"
@@ -55,6 +56,8 @@ def title_parts(records: DataFrame, title: str) -> DataFrame:
     for _ in range(2):
         t = F.regexp_replace(t, f"\\s*(?:[,;:.–—-]|\\s/)\\s*{REMARK}[\\s.]*$", "")
     t = F.regexp_replace(t, f"\\s+{EDITION}[\\s.]*$", "")
+    # A remark of two words with a slip in one of them.
+    t = F.regexp_replace(t, f"\\s*(?:[,;/(\\[]|\\s[–—-])\\s*(?:(?:{SURE_WORDS})\\s+\\p{{L}}{{3,11}}|\\p{{L}}{{3,11}}\\s+(?:{SURE_WORDS}))[\\s.)\\]]*$", "")
     part = f"(?:[\\s,;:.–—-]*[\\(\\[]?\\s*\\b(?:{PART_WORDS})\\b\\.?\\s*(?:[0-9]+|[ivxlcdm]+|{NUMBER_WORDS})\\b\\s*[\\)\\]]?[\\s.]*)"
     plain = plain.withColumn("_t", t)
     number = F.regexp_extract_all(F.col("_t"), F.lit(f"(?:\\b(?:{PART_WORDS})\\b\\.?\\s*([ivxlcdm]+|{NUMBER_WORDS})\\b)|([0-9]+)"), F.lit(0))

@@ -19,7 +19,7 @@ LONG = "The Quiet Lantern of Belramelthstad: A Study of the Silver Ferry"
 
 
 def test_titles(spark):
-    same = ["the quiet lantern of belramelthstad — a study of the silver ferry", "Quiet Lantern of Belramelthstad", "The Quiet Lantrn of Belramelthstad: A Study of the Silver Ferry (2nd ed.)", "The Quiet Lantеrn of  Belramelthstad: A Study of the Silver Ferry [open access]", "The Quiet Lantern of Belramelthstad: A Stuyd of the Silver Ferry, revised edition"]
+    same = ["the quiet lantern of belramelthstad — a study of the silver ferry", "Quiet Lantern of Belramelthstad", "The Quiet Lantrn of Belramelthstad: A Study of the Silver Ferry (2nd ed.)", "The Quiet Lantеrn of  Belramelthstad: A Study of the Silver Ferry [open access]", "The Quiet Lantern of Belramelthstad: A Stuyd of the Silver Ferry, revised edition", "The Quiet Lantern of Belramelthstad: A Study of the Silver Ferry, revied edition"]
     other = ["The Quiet Lantern of Belramelthstad: A Study of the Wooden Ledger", "The Quiet Lantern of Belramelthstad, Volume 2", "", None]
     rows = [("t", LONG, "discovery", None, None)] + [(f"s{i}", t, "control", None, None) for i, t in enumerate(same)] + [(f"u{i}", t, "development", None, None) for i, t in enumerate(other)]
     assert pairs(spark, rows) == {tuple(sorted((f"s{i}", "t"))) for i in range(len(same))}
