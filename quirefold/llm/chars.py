@@ -296,13 +296,22 @@ def plain_texts(texts: pa.Array, context: bool = False, marks: bool = True) -> t
     return texts, changed
 
 
+def bounded(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about ``most`` bytes each (one long text is a slice by itself), as the arrays made of them are many times larger."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes.astype(np.int64)) // most
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(int(a), int(b - a))
+
+
 def with_plain(df: DataFrame, column: str, out: str = "plain", changed: str | None = None, context: bool = False, marks: bool = True) -> DataFrame:
     """``df`` with the plain form of ``column`` and, if named, whether it differs. Existing columns of these names are replaced."""
     base = df.drop(*[c for c in (out, changed) if c and c != column])
     place = base.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole, place)):
             new, differs = plain_texts(batch.column(place), context, marks)
             columns, names = list(batch.columns), list(batch.schema.names)
             if out == column:

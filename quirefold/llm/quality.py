@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.chars import LIMIT, code_points
+from quirefold.llm.chars import LIMIT, bounded, code_points
 
 STATES = ("prose", "list", "table", "junk")
 STAY = 0.86  # probability that the next line has the same label
@@ -295,7 +295,7 @@ def document_statistics(texts: pa.Array) -> list[np.ndarray]:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in bounded(whole, whole.num_columns - 1)):
         found = document_statistics(batch.column(batch.num_columns - 1))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found)], names=[*batch.schema.names[:-1], *FIELDS])
 

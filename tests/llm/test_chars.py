@@ -75,3 +75,10 @@ def test_long_text(spark):
     text = ("wörd gardеn " * 100_000)
     out, changed = chars.plain_texts(pa.array([text]))
     assert changed[0] and out[0].as_py() == "wörd garden " * 100_000
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 6, None, "b" * 6, "", "c" * 50, "d", "e"])], names=["n", "t"])
+    parts = list(chars.bounded(batch, 1, 10))
+    assert [r for p in parts for r in p.column(0).to_pylist()] == list(range(7)) and len(parts) == 3
+    assert [p.num_rows for p in chars.bounded(batch.slice(0, 0), 1, 10)] == [0]
