@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.operators.scans import backward_asof, nearest, running_sum
+from quirefold.session import cut
 
 
 def unit_rows(predictions: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def remap(anchors: DataFrame, units: DataFrame) -> DataFrame:
     begins = rest.join(u, ["bookid", "pageindex", "sourcestart"]).where((F.col("newtext") != "") & F.startswith(F.col("contexttext"), F.concat("newtext", F.lit(" "))))
     prefix = begins.groupBy("bookid", "anchorid").agg(F.min("unitno").alias("unitno"), F.count("*").alias("n")).where("n = 1")
     prefix = prefix.select("bookid", "anchorid", "unitno", F.lit(0.99).alias("confidence"), F.lit("prefix").alias("how"))
-    rest = rest.join(prefix, ["bookid", "anchorid"], "left_anti").withColumn("g", T.context_grams(F.col("contexttext")))
+    rest = cut(rest.join(prefix, ["bookid", "anchorid"], "left_anti").select("bookid", "anchorid", "pageindex", T.context_grams(F.col("contexttext")).alias("g")))
     grams = units.select("bookid", "unitno", F.explode(T.context_grams(F.col("contexttext"))).alias("gram"))
     shared = rest.select("bookid", "anchorid", F.explode("g").alias("gram")).join(grams, ["bookid", "gram"]).groupBy("bookid", "anchorid", "unitno").agg(F.count("*").alias("n"))
     pages = units.select("bookid", "unitno", F.explode("sourcepages").alias("pageindex"))
