@@ -1,7 +1,7 @@
 """Same or near-same records across splits (problem 1).
 
 Records are reduced to distinct keys (title, title without subtitle, checksum), so that copies are compared once. Titles
-are joined by an exact prefix filter: the grams of every key are ordered by their number in all keys, rare ones first;
+are joined by an exact prefix filter: the grams of every key are brought in one order, by how often they occur, rare ones first;
 evaluation keys are indexed under their rarest grams and training keys probe with theirs. If at most k slips part two
 keys, and a slip can touch at most GRAM + 1 grams, then the k * (GRAM + 1) + 1 rarest grams of either must meet the
 other's, so no pair is lost. Length and position filters drop candidates, and the edit distance decides.
@@ -9,16 +9,20 @@ other's, so no pair is lost. Length and position filters drop candidates, and th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.chars import with_plain
+from quirefold.llm.chars import code_points, with_plain
 from quirefold.session import cut
 
 GRAM = 4
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BUCKET_SHIFT = np.uint64(44)  # grams are counted by their first 20 bits
+# Slips a key may have: none below 10 characters, one below 24, else two.
 SALTS = 8  # a key that very many training records share is met by so many tasks
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 TRAINING = ("discovery",)
@@ -73,11 +77,6 @@ def title_parts(records: DataFrame, title: str) -> DataFrame:
     return plain.withColumns({"full": full, "main": F.when(has_sub, main).otherwise(full), "has_sub": has_sub}).drop("_t", "_b")
 
 
-def slips(length: Column) -> Column:
-    """How many slips a key of this length may have: none below 10 characters, one below 24, else two."""
-    return F.when(length < 10, 0).when(length < 24, 1).otherwise(2)
-
-
 def _distance_at_most(a: str, b: str, k: int) -> bool:
     """Whether at most k insertions, deletions, replacements or swaps of neighbours part the two."""
     if a == b:
@@ -113,28 +112,67 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([_distance_at_most(x, y, n) for x, y, n in zip(a, b, k)], pa.bool_()))
 
 
+def _gram_values(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value, key's row and place of every gram of a batch of keys, and the keys' lengths."""
+    cps, starts = code_points(keys)
+    size = np.diff(starts)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(cps)) - np.repeat(starts[:-1], size)
+    at = np.flatnonzero(place <= size[row] - GRAM) if len(cps) else np.zeros(0, np.int64)
+    value = np.zeros(len(at), np.uint64)
+    for i in range(GRAM):
+        value = (value + cps[at + i].astype(np.uint64) + np.uint64(1)) * MIX
+    return value, row[at], place[at], size
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bucket, n = np.unique(_gram_values(batch.column(0))[0] >> BUCKET_SHIFT, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+
+def _prefixes(frequency) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, row, place, size = _gram_values(batch.column(0))
+            # One order for all keys: how often the gram's bucket occurs, then the gram, then its place.
+            order = np.lexsort((place, value, frequency.value[value >> BUCKET_SHIFT], row))
+            value, row, place = value[order], row[order], place[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            k = np.where(size < 10, 0, np.where(size < 24, 1, 2))
+            kept = rank <= k[row] * (GRAM + 1)
+            row = row[kept]
+            rest = batch.select(["kid", "in_e", "in_t"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [*rest.columns, pa.array(size[row].astype(np.int32)), pa.array(k[row].astype(np.int32)), pa.array(value[kept].view(np.int64)), pa.array(place[kept].astype(np.int32))],
+                names=["kid", "in_e", "in_t", "len", "k", "gram", "pos"],
+            )
+
+    return run
+
+
 def near_keys(keys: DataFrame) -> DataFrame:
     """key_e, key_t: every evaluation key and training key within the slips allowed, equal ones included.
 
-    ``keys`` has distinct key (string), in_e, in_t (boolean). Empty keys meet nothing.
+    ``keys`` has distinct key (string), in_e, in_t (boolean). Empty keys meet nothing. Grams are counted in 2**20 buckets, a table whose size
+    does not depend on the data, and each key's rarest ones are picked where the key is; only those are shuffled. Grams that are
+    hashed alike can only add candidates, which the edit distance sorts out.
     """
-    own = keys.where(F.length("key") > 0).select("key", "in_e", "in_t", F.length("key").alias("len"))
+    spark = keys.sparkSession
+    own = cut(keys.where(F.length("key") > 0).select("key", "in_e", "in_t", F.xxhash64("key").alias("kid")))
     equal = own.where("in_e and in_t").select(F.col("key").alias("key_e"), F.col("key").alias("key_t"))
-    own = own.where(F.length("key") >= 10)
-    grams = F.transform(F.sequence(F.lit(1), F.col("len") - GRAM + 1), lambda i: F.substring(F.col("key"), i, F.lit(GRAM)))
-    spread = own.withColumn("k", slips(F.col("len"))).select("key", "in_e", "in_t", "len", "k", F.posexplode(grams).alias("pos", "gram"))
-    counts = spread.groupBy("gram").agg(F.count("*").alias("n"))
-    # A key's rarest grams; ties go by the gram itself, the same way on both sides. A repeated gram fills as many places.
-    ordered = spread.join(counts, "gram").groupBy("key").agg(
-        F.first("in_e").alias("in_e"), F.first("in_t").alias("in_t"), F.first("len").alias("len"), F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("n", "gram", "pos"))).alias("g")
-    )
-    prefix = ordered.select("key", "in_e", "in_t", "len", "k", F.explode(F.slice("g", F.lit(1), F.col("k") * (GRAM + 1) + 1)).alias("g")).select("key", "in_e", "in_t", "len", "k", "g.gram", "g.pos")
-    prefix = cut(prefix)
-    e = prefix.where("in_e").select(F.col("key").alias("key_e"), F.col("len").alias("len_e"), F.col("k").alias("k_e"), "gram", F.col("pos").alias("pos_e"))
-    t = prefix.where("in_t").select(F.col("key").alias("key_t"), F.col("len").alias("len_t"), F.col("k").alias("k_t"), "gram", F.col("pos").alias("pos_t"))
+    long_ = own.where(F.length("key") >= 10)
+    counted = long_.select("key").mapInArrow(_count_grams, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 << (64 - int(BUCKET_SHIFT)), np.int64)
+    frequency[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    prefix = cut(long_.mapInArrow(_prefixes(spark.sparkContext.broadcast(frequency)), "kid long, in_e boolean, in_t boolean, len int, k int, gram long, pos int"))
+    e = prefix.where("in_e").select(F.col("kid").alias("kid_e"), F.col("len").alias("len_e"), F.col("k").alias("k_e"), "gram", F.col("pos").alias("pos_e"))
+    t = prefix.where("in_t").select(F.col("kid").alias("kid_t"), F.col("len").alias("len_t"), F.col("k").alias("k_t"), "gram", F.col("pos").alias("pos_t"))
     k = F.least("k_e", "k_t")
-    pairs = e.join(t, "gram").where((F.abs(F.col("len_e") - F.col("len_t")) <= k) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= k) & (F.col("key_e") != F.col("key_t")))
-    pairs = pairs.select("key_e", "key_t", k.alias("k")).distinct()
+    pairs = e.join(t, "gram").where((F.abs(F.col("len_e") - F.col("len_t")) <= k) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= k) & (F.col("kid_e") != F.col("kid_t")))
+    pairs = pairs.select("kid_e", "kid_t", k.alias("k")).distinct()
+    pairs = pairs.join(own.where("in_e").select(F.col("kid").alias("kid_e"), F.col("key").alias("key_e")), "kid_e").join(own.where("in_t").select(F.col("kid").alias("kid_t"), F.col("key").alias("key_t")), "kid_t")
+    pairs = pairs.select("key_e", "key_t", "k")
     return equal.unionByName(pairs.mapInArrow(_verify, pairs.schema).select("key_e", "key_t"))
 
 
