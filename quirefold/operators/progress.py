@@ -119,3 +119,68 @@ def remap(anchors: DataFrame, units: DataFrame) -> DataFrame:
     sure = F.when((F.col("b.context") >= 0.92) & F.col("b.same"), F.greatest(F.lit(0.9), score)).otherwise(F.least(F.lit(0.89), score))
     similar = best.select("bookid", "anchorid", F.col("b.unitno").alias("unitno"), sure.alias("confidence"), F.lit("similarity").alias("how"))
     return exact.unionByName(prefix).unionByName(similar)
+
+
+def remap_in_documents(anchors: DataFrame, units: DataFrame) -> DataFrame:
+    """bookid, anchorid, unitno, confidence, how for places in EPUB documents.
+
+    As ``remap`` but within the anchor's document (path): the nearest unit of equal hash, a unique one at the same offset whose context begins the old one, else
+    the most alike unit of the document, or of the book if it has no such document any more. Books without units give no row.
+    """
+    same = anchors.join(units.select("bookid", "path", "contexthash", "unitno", F.col("sourcestart").alias("_s")), ["bookid", "path", "contexthash"])
+    exact = same.groupBy("bookid", "anchorid").agg(F.min(F.struct(F.abs(F.col("_s") - F.col("sourcestart")).alias("d"), "unitno")).alias("b")).select("bookid", "anchorid", "b.unitno", F.lit(0.995).alias("confidence"), F.lit("hash").alias("how"))
+    rest = anchors.join(exact, ["bookid", "anchorid"], "left_anti")
+    begins = rest.join(units.select("bookid", "path", "sourcestart", "unitno", F.col("contexttext").alias("_t")), ["bookid", "path", "sourcestart"]).where((F.col("_t") != "") & F.startswith("contexttext", F.concat("_t", F.lit(" "))))
+    prefix = begins.groupBy("bookid", "anchorid").agg(F.min("unitno").alias("unitno"), F.count("*").alias("n")).where("n = 1").select("bookid", "anchorid", "unitno", F.lit(0.99).alias("confidence"), F.lit("prefix").alias("how"))
+    rest = rest.join(prefix, ["bookid", "anchorid"], "left_anti")
+    documents = units.select("bookid", "path", F.lit(True).alias("_known")).distinct()
+    rest = cut(rest.join(documents, ["bookid", "path"], "left").select("bookid", "anchorid", "sourcestart", F.when(F.col("_known"), F.col("path")).otherwise("").alias("scope"), T.context_grams(F.col("contexttext")).alias("g")))
+    scoped = units.select("bookid", "unitno", "sourcestart", F.explode(F.array("path", F.lit(""))).alias("scope"), T.context_grams(F.col("contexttext")).alias("h"))
+    shared = rest.select("bookid", "scope", "anchorid", F.explode("g").alias("gram")).join(scoped.select("bookid", "scope", "unitno", F.explode("h").alias("gram")), ["bookid", "scope", "gram"]).groupBy("bookid", "scope", "anchorid", "unitno").agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("long").alias("n")
+    level = rest.select("bookid", "scope", "anchorid", "sourcestart").join(scoped.select("bookid", "scope", "sourcestart", "unitno"), ["bookid", "scope", "sourcestart"]).select("bookid", "scope", "anchorid", "unitno", none)
+    first = rest.select("bookid", "scope", "anchorid").join(scoped.groupBy("bookid", "scope").agg(F.min("unitno").alias("unitno")), ["bookid", "scope"]).select("bookid", "scope", "anchorid", "unitno", none)
+    pairs = shared.unionByName(level).unionByName(first).groupBy("bookid", "scope", "anchorid", "unitno").agg(F.max("n").alias("n"))
+    pairs = pairs.join(rest.select("bookid", "anchorid", F.col("sourcestart").alias("_a"), F.size("g").alias("a")), ["bookid", "anchorid"]).join(units.select("bookid", "unitno", "sourcestart", F.size(T.context_grams(F.col("contexttext"))).alias("b")), ["bookid", "unitno"])
+    context = F.when((F.col("a") > 0) & (F.col("b") > 0), 2.0 * F.col("n") / (F.col("a") + F.col("b"))).otherwise(0.0)
+    score = context * 0.85 + F.when(F.col("_a") == F.col("sourcestart"), 0.1).otherwise(0.0)
+    best = pairs.groupBy("bookid", "anchorid").agg(F.min(F.struct((-score).alias("minus"), "unitno")).alias("b"))
+    similar = best.select("bookid", "anchorid", "b.unitno", F.least(F.lit(0.89), -F.col("b.minus")).alias("confidence"), F.lit("similarity").alias("how"))
+    return exact.unionByName(prefix).unionByName(similar)
+
+
+PROBE, STEP, LEAST_PROBE, REACH = 60, 24, 30, 360
+
+
+def chapter_units(chapters: DataFrame, units: DataFrame, pages: DataFrame) -> DataFrame:
+    """``chapters`` (bookid, chapterno, title, pageindex, endline) with unitno, the reading unit where each begins; those that lead nowhere are left out.
+
+    The first unit of the chapter's page that holds its title; else one that holds a stretch of the page's text behind the heading; else the page's first unit;
+    else the first unit of a later page.
+    """
+    nav = lambda c: T.key(T.navigation_title(c))
+    own = chapters.select("bookid", "chapterno", "pageindex", "endline", nav(F.col("title")).alias("_title"))
+    u = units.where(F.length(F.trim("text")) > 0).select("bookid", "unitno", F.col("pageindex"), nav(F.col("text")).alias("_key"))
+    here = own.join(u, ["bookid", "pageindex"])
+    titled = here.where(F.contains("_key", F.col("_title"))).groupBy("bookid", "chapterno").agg(F.min("unitno").alias("u1"))
+    body = F.array_join(F.slice(F.split("text", "\n"), F.col("endline") + 1, 1_000_000), " ")
+    behind = own.join(pages.select("bookid", "pageindex", "text"), ["bookid", "pageindex"]).select("bookid", "chapterno", "pageindex", nav(body).alias("_behind"))
+    spots = F.filter(F.sequence(F.lit(0), F.lit(REACH - 1), F.lit(STEP)), lambda i: i + LEAST_PROBE <= F.length("_behind"))
+    probes = behind.select("bookid", "chapterno", "pageindex", F.posexplode(F.transform(spots, lambda i: F.substring(F.col("_behind"), i + 1, PROBE))).alias("no", "probe"))
+    on_page = probes.join(u, ["bookid", "pageindex"]).where(F.contains("_key", F.col("probe")))
+    paged = here.select("bookid", "chapterno").distinct()
+    anywhere = probes.join(paged, ["bookid", "chapterno"], "left_anti").join(u.drop("pageindex"), "bookid").where(F.contains("_key", F.col("probe")))
+    probed = on_page.select("bookid", "chapterno", "no", "unitno").unionByName(anywhere.select("bookid", "chapterno", "no", "unitno")).groupBy("bookid", "chapterno").agg(F.min(F.struct("no", "unitno")).alias("b")).select("bookid", "chapterno", F.col("b.unitno").alias("u2"))
+    first = here.groupBy("bookid", "chapterno").agg(F.min("unitno").alias("u3"))
+    minus = u.select("bookid", (-F.col("pageindex")).alias("_minus"), F.struct((-F.col("unitno")).alias("u")).alias("_later"))
+    later = backward_asof(own.select("bookid", "chapterno", (-F.col("pageindex")).alias("_minus")), minus, ["bookid"], "_minus", "_later").select("bookid", "chapterno", (-F.col("_later.u")).alias("u4"))
+    found = chapters
+    for part in (titled, probed, first, later):
+        found = found.join(part, ["bookid", "chapterno"], "left")
+    return found.withColumn("unitno", F.coalesce("u1", "u2", "u3", "u4")).drop("u1", "u2", "u3", "u4").where(F.col("unitno").isNotNull())
+
+
+def current_chapters(units: DataFrame, chapters: DataFrame) -> DataFrame:
+    """bookid, unitno, title: the last chapter (bookid, unitno, title) that begins at or before each unit."""
+    marks = chapters.select("bookid", "unitno", F.struct("title").alias("_chapter"))
+    return backward_asof(units.select("bookid", "unitno"), marks, ["bookid"], "unitno", "_chapter").select("bookid", "unitno", F.col("_chapter.title").alias("title"))

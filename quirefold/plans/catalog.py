@@ -551,3 +551,22 @@ def reading_starts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def unsteady_progress(spark: SparkSession, d: str) -> DataFrame:
     return repairs.unsteady_progress(progress.progress(_offsets(spark, d)))
+
+
+@query()
+def chapter_units(spark: SparkSession, d: str) -> DataFrame:
+    """The reading unit where each chapter found in the source begins."""
+    found = navigation.source_chapters(_evidence(spark, d)).where(F.col("confidence") >= navigation.ACCEPT).withColumn("endline", F.col("lineno") + 1)
+    return progress.chapter_units(found, progress.unit_rows(table(spark, d, "prediction")), page_pages(spark, d))
+
+
+@query(f"""WITH {UNITS}, {SECTIONS.split('), ', 1)[1]}, c AS (SELECT s.bookid, s.title, s.sectionno, (SELECT min(unitno) FROM units x WHERE x.bookid = s.bookid AND x.u.anchor.pageindex >= s.startpage) unitno FROM sections s),
+m AS (SELECT bookid, unitno, max(title) title FROM c WHERE unitno IS NOT NULL GROUP BY 1, 2)
+SELECT u.bookid, CAST(u.unitno AS INT) AS unitno, m.title FROM units u ASOF LEFT JOIN m ON u.bookid = m.bookid AND u.unitno >= m.unitno""")
+def current_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """The section that each unit is read in, by the units where sections begin."""
+    own = progress.unit_rows(table(spark, d, "prediction"))
+    ahead = own.where(F.col("pageindex").isNotNull()).select("bookid", (-F.col("pageindex")).alias("minus"), F.struct((-F.col("unitno")).alias("u")).alias("_first"))
+    sections_ = progress.section_rows(table(spark, d, "prediction"))
+    starts = scans.backward_asof(sections_.select("bookid", (-F.col("startpage")).alias("minus"), "title", "sectionno"), ahead, ["bookid"], "minus", "_first")
+    return progress.current_chapters(own, starts.select("bookid", (-F.col("_first.u")).alias("unitno"), "title").where(F.col("unitno").isNotNull()))

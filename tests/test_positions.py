@@ -66,3 +66,26 @@ def test_quotes(spark):
     units = spark.createDataFrame([("b", i, "He left." if i % 2 == 0 else "” So.") for i in range(40)], "bookid string, unitno int, text string")
     got = [r.text for r in repairs.repaired_units(units, chunk=4).orderBy("unitno").collect()]
     assert got == repairs.move_closing_quotes([r.text for r in units.orderBy("unitno").collect()])
+
+
+def test_remap_in_documents(spark):
+    def rows(data, key):
+        return spark.createDataFrame(data, f"bookid string, {key} int, path string, contexttext string, sourcestart int").withColumn("contexthash", T.context_hash("contexttext"))
+
+    old = rows([("b", 0, "a.x", "the mill stood here", 50), ("b", 1, "a.x", "one two three four", 7), ("b", 2, "a.x", "the clerk left the house at noon", 90), ("b", 3, "gone.x", "a lamp burned in the tower", 0), ("b", 4, "a.x", "nothing alike", 1000)], "anchorid")
+    new = rows([("b", 0, "c.x", "the mill stood here", 50), ("b", 1, "a.x", "the mill stood here", 10), ("b", 2, "a.x", "the mill stood here", 45), ("b", 3, "a.x", "one two three", 7), ("b", 4, "a.x", "the clerk left the house", 90), ("b", 5, "c.x", "a lamp burned in a tower", 300)], "unitno")
+    got = {r.anchorid: r for r in progress.remap_in_documents(old, new).collect()}
+    assert (got[0].unitno, got[0].how) == (2, "hash") and (got[1].unitno, got[1].how) == (3, "prefix")
+    assert (got[2].unitno, got[2].how) == (4, "prefix") and got[3].unitno == 5 and got[3].confidence == pytest.approx(0.85 * 2 * 2 / 8)
+    assert (got[4].unitno, got[4].confidence) == (1, 0.0)
+    assert progress.remap_in_documents(old, new.limit(0)).count() == 0
+
+
+def test_chapters_on_units(spark):
+    chapters = spark.createDataFrame([("b", 0, "Chapter One", 1, 1), ("b", 1, "Chapter Two", 3, 1), ("b", 2, "Chapter Three", 5, 1), ("b", 3, "Chapter Four", 6, 1), ("b", 4, "Beyond", 99, 1)], "bookid string, chapterno int, title string, pageindex int, endline int")
+    text = "the quiet keeper walked along the narrow path to the lighthouse with oil and bread"
+    units = spark.createDataFrame([("b", 0, "Before", 0), ("b", 1, "Still before", 1), ("b", 2, "CHAPTER ONE: it began", 1), ("b", 3, "other words", 3), ("b", 4, text, 3), ("b", 5, "only this", 5), ("b", 6, "last", 7)], "bookid string, unitno int, text string, pageindex int")
+    pages = spark.createDataFrame([("b", 3, "Chapter Two\n" + text), ("b", 5, "Chapter Three\nx"), ("b", 6, "Chapter Four")], "bookid string, pageindex int, text string")
+    found = progress.chapter_units(chapters, units, pages)
+    assert {r.chapterno: r.unitno for r in found.collect()} == {0: 2, 1: 4, 2: 5, 3: 6}
+    assert [r.title for r in progress.current_chapters(units, found).orderBy("unitno").collect()] == [None, None, "Chapter One", "Chapter One", "Chapter Two", "Chapter Three", "Chapter Four"]
