@@ -9,7 +9,7 @@ Plain form: no invisible characters, no space but U+0020, composed accents (NFC)
 (no variants of width or style, no joined letters), every word in one script. Superscripts, fractions, dashes,
 curly quotes, ellipses and the punctuation of Chinese and Japanese stay as they are.
 
-Nulls stay null and empty texts empty; runs of ordinary spaces are kept, as is the line feed; other line ends
+Nulls stay null and empty texts empty; runs of ordinary spaces are kept, and so is the line feed unless a text is one line; other line ends
 count as invisible (carriage return) or as spaces (tab, form feed, separators).
 """
 
@@ -258,8 +258,9 @@ def _compose(cps: np.ndarray, starts: np.ndarray, t: Tables) -> tuple[np.ndarray
     return cps, ends
 
 
-def plain_texts(texts: pa.Array, context: bool = False, marks: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """Plain form of every text, and which texts changed. Without ``marks``, letters lose their accents.
+def plain_texts(texts: pa.Array, context: bool = False, marks: bool = True, lines: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """Plain form of every text, and which texts changed. Without ``marks``, letters lose their accents; without ``lines``,
+    a line feed is a space like the others, as in titles and other texts of one line.
 
     With ``context``, a word made of look-alikes only also goes to the script of its row's other words; this is
     for comparing texts, not part of the plain form.
@@ -274,6 +275,9 @@ def plain_texts(texts: pa.Array, context: bool = False, marks: bool = True) -> t
     changed = np.zeros(len(texts), bool)
     if not marks:
         need |= _rows_with(t.accented[cps], starts)
+    if not lines and (feeds := cps == 10).any():
+        need |= _rows_with(feeds, starts)
+        cps = np.where(feeds, np.uint32(32), cps)
     if not need.any():
         return texts, changed
     part = cps[np.repeat(need, np.diff(starts))]
@@ -305,14 +309,14 @@ def bounded(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator
         yield batch.slice(int(a), int(b - a))
 
 
-def with_plain(df: DataFrame, column: str, out: str = "plain", changed: str | None = None, context: bool = False, marks: bool = True) -> DataFrame:
+def with_plain(df: DataFrame, column: str, out: str = "plain", changed: str | None = None, context: bool = False, marks: bool = True, lines: bool = True) -> DataFrame:
     """``df`` with the plain form of ``column`` and, if named, whether it differs. Existing columns of these names are replaced."""
     base = df.drop(*[c for c in (out, changed) if c and c != column])
     place = base.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bounded(whole, place)):
-            new, differs = plain_texts(batch.column(place), context, marks)
+            new, differs = plain_texts(batch.column(place), context, marks, lines)
             columns, names = list(batch.columns), list(batch.schema.names)
             if out == column:
                 columns[place] = new
@@ -334,8 +338,8 @@ def with_plain(df: DataFrame, column: str, out: str = "plain", changed: str | No
 
 def not_plain(spans: DataFrame, annotations: DataFrame) -> DataFrame:
     """Rows of text_span and of annotation whose text is not in plain form; repeated rows count once, nulls are plain."""
-    a = with_plain(spans.select("bookid", "pageindex", "spanindex", "text").where(F.col("text").isNotNull()), "text", changed="_differs")
-    b = with_plain(annotations.select("bookid", F.col("title").alias("text")).where(F.col("text").isNotNull()), "text", changed="_differs")
+    a = with_plain(spans.select("bookid", "pageindex", "spanindex", "text").where(F.col("text").isNotNull()), "text", changed="_differs", lines=False)
+    b = with_plain(annotations.select("bookid", F.col("title").alias("text")).where(F.col("text").isNotNull()), "text", changed="_differs", lines=False)
     a = a.where("_differs").select(F.lit("span").alias("reckind"), "bookid", F.col("pageindex").cast("int").alias("pageindex"), F.col("spanindex").cast("int").alias("spanindex"))
     b = b.where("_differs").select(F.lit("annotation").alias("reckind"), "bookid", F.lit(-1).alias("pageindex"), F.lit(-1).alias("spanindex"))
     return a.unionByName(b).distinct()

@@ -82,3 +82,9 @@ def test_batches_are_cut_by_bytes():
     parts = list(chars.bounded(batch, 1, 10))
     assert [r for p in parts for r in p.column(0).to_pylist()] == list(range(7)) and len(parts) == 3
     assert [p.num_rows for p in chars.bounded(batch.slice(0, 0), 1, 10)] == [0]
+
+
+def test_texts_of_one_line():
+    out, changed = chars.plain_texts(pa.array(["Essays\nOn Chapel", "a\tb", "c"]), lines=False)
+    assert out.to_pylist() == ["Essays On Chapel", "a b", "c"] and changed.tolist() == [True, True, False]
+    assert not chars.plain_texts(pa.array(["a\nb"]))[1].any()
