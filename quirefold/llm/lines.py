@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.chars import with_plain
+from quirefold.session import cut
 
 SALTS = 8
 
@@ -52,7 +53,7 @@ def repeated_lines(docs: DataFrame, source: str, doc: str, text: str, label: str
     """
     own = docs.select(F.col(source).alias("source"), F.col(doc).alias("doc"), F.col(text).alias("text"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"))
     own = own.where(F.col("source").isNotNull())
-    keyed = line_keys(numbered_lines(own, "source", "doc", "text", "label")).select("source", "doc", "lineindex", "key")
+    keyed = cut(line_keys(numbered_lines(own, "source", "doc", "text", "label")).select("source", "doc", "lineindex", "key"))  # read twice
     found = repeated_keys(keyed, own, least_docs, least_share)
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = keyed.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
