@@ -344,4 +344,5 @@ def page_and_unit_sentences(pages: DataFrame, predictions: DataFrame) -> DataFra
     """The sentence units of every page's text and of every reading unit."""
     a = pages.select(F.lit("page").alias("itemkind"), "bookid", F.col("pageindex").cast("int").alias("itemno"), "text")
     b = predictions.select("bookid", F.posexplode("readingunits").alias("itemno", "u")).select(F.lit("unit").alias("itemkind"), "bookid", "itemno", F.col("u.text").alias("text"))
-    return with_sentences(a.unionByName(b).distinct(), ["itemkind", "bookid", "itemno"], "text").distinct()
+    # Repeated rows are few; their sentences are dropped at the end, so that no text is shuffled.
+    return with_sentences(a.unionByName(b), ["itemkind", "bookid", "itemno"], "text").distinct()
