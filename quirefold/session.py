@@ -26,6 +26,7 @@ def build_session(app: str = "quirefold", cpus: int | str = "*", shuffle_partiti
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     settle(spark)

@@ -14,5 +14,8 @@ def spark():
 
     session = build_session("tests", cpus=4, shuffle_partitions=4, driver_memory="4g")
     session.sparkContext.setLogLevel("ERROR")
+    # Tables of a few rows: compiling code for each plan would take most of the time.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
