@@ -36,7 +36,7 @@ GREEK_LOOK_ALIKES = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa
 VISIBLE_FORMAT = (*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD)
 INVISIBLE = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x2065, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
 STYLE_TAGS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
-KEPT_COMPAT = (0x00B5, 0x0E33, 0x0EB3)  # micro sign, Thai and Lao AM: usual spellings
+KEPT_COMPAT = (0x00B5, 0x03F2, 0x03F9, 0x0E33, 0x0EB3)  # micro sign, lunate sigma (a look-alike of c), Thai and Lao AM: usual spellings
 
 
 def _plain(cp: int) -> str:

@@ -12,7 +12,7 @@ from quirefold.llm import chars
 CASES = [
     ("Ｂｅｌ Ｐｒｅｓｓ", "Bel Press"), ("𝐏𝐮𝐛𝐥𝐢𝐬𝐡", "Publish"), ("ﬁnd ﬂow ﬀ", "find flow ff"), ("a​b­c﻿d⁠", "abcd"), ("x y z　w", "x y z w"),
     ("Café über", "Café über"), ("gardеn", "garden"), ("Εthdribanνen", "Ethdribanven"), ("FRΟΜ", "FROM"), ("m² – “q” … 10 ½ ！（）。「」", "m² – “q” … 10 ½ ！（）。「」"), ("А это дом", "А это дом"), ("дoм и сад", "дом и сад"),
-    ("", ""), ("가나", "가나"), ("q̣̇", "q̣̇"), ("ｶﾞ", "ガ"), ("कि़", "कि़"),
+    ("", ""), ("가나", "가나"), ("q̣̇", "q̣̇"), ("ϲlerk", "clerk"), ("ｶﾞ", "ガ"), ("कि़", "कि़"),
 ]
 
 
