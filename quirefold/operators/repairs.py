@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
 from quirefold.operators.scans import map_groups
+from quirefold.session import cut
 
 CLOSED = re.compile(r"(?:[”’»）)\]}]+|[\"']+(?=\s|$))")
 ENDED = re.compile(r"[.!?…][\"'”’»）)\]}]*$")
@@ -132,11 +133,21 @@ def only_known_families(chapters: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def supplements(blocks: DataFrame, units: DataFrame) -> DataFrame:
-    """bookid, pageindex, blockno, kind, text, unitno: notes, captions, tables and references, each with the unit nearest by page; null in books without units."""
+    """bookid, pageindex, blockno, kind, text, unitno: notes, captions, tables and references, each with the unit nearest by page; null in books without units.
+
+    Where blocks and units have a sectionno, the nearest unit of the block's own section comes before that of the whole book. Units with sourcepages are near by each of these.
+    """
     from quirefold.operators.scans import nearest
 
-    aside = blocks.where(F.col("kind").isin("footnote", "caption", "table", "reference")).select("bookid", "pageindex", "blockno", "kind", "text")
-    return nearest(aside, units.where(F.col("pageindex").isNotNull()).select("bookid", "pageindex", "unitno"), ["bookid"], "pageindex", "unitno")
+    sectioned = "sectionno" in blocks.columns and "sectionno" in units.columns
+    section = [F.coalesce("sectionno", F.lit(-1)).alias("sectionno")] if sectioned else []
+    aside = blocks.where(F.col("kind").isin("footnote", "caption", "table", "reference")).select("bookid", *section, "pageindex", "blockno", "kind", "text")
+    page = F.explode("sourcepages").alias("pageindex") if "sourcepages" in units.columns else F.col("pageindex")
+    own = units.select("bookid", *section, page, "unitno").where(F.col("pageindex").isNotNull())
+    found = nearest(aside, own.select("bookid", "pageindex", "unitno"), ["bookid"], "pageindex", "unitno")
+    if sectioned:  # each search reads its left side several times, so the first is written before the second
+        found = nearest(cut(found).withColumnRenamed("unitno", "_whole"), own, ["bookid", "sectionno"], "pageindex", "unitno").withColumn("unitno", F.coalesce("unitno", "_whole"))
+    return found.select("bookid", "pageindex", "blockno", "kind", "text", "unitno")
 
 
 def reading_starts(sections: DataFrame) -> DataFrame:

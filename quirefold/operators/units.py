@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.sentences import sentences
-from quirefold.functions.text import context_hash, context_key, count_words, half_up
+from quirefold.functions.text import FULL_TEXT_KINDS, context_hash, context_key, count_words, half_up
+from quirefold.session import cut
 
 MOST_WORDS = 32
+STRETCH = 1024  # characters of a passage that segments and units are met in
 
 
 def passages(blocks: DataFrame, keys: list[str], order: str = "blockno") -> DataFrame:
@@ -16,14 +18,19 @@ def passages(blocks: DataFrame, keys: list[str], order: str = "blockno") -> Data
 
     ``blocks`` has keys, the order, text, pageindex, sourcestart, sourceend.
     """
-    item = F.struct(F.col(order).alias("o"), "text", "pageindex", "sourcestart", "sourceend")
-    packed = blocks.where(F.col("text").isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("b"))
-    step = lambda acc, x: F.struct(
-        F.concat(acc["rows"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x["text"])).alias("end"), x["pageindex"].alias("pageindex"), x["sourcestart"].alias("sourcestart"), x["sourceend"].alias("sourceend")))).alias("rows"),
-        (acc["at"] + F.length(x["text"]) + 1).alias("at"),
-    )
-    empty = F.struct(F.array().cast("array<struct<start:int,end:int,pageindex:int,sourcestart:int,sourceend:int>>").alias("rows"), F.lit(0).alias("at"))
-    return packed.select(*keys, F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("text"), F.aggregate("b", empty, step)["rows"].alias("segments"))
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("int")
+    item = F.struct(F.col(order).alias("o"), "text", "start", (F.col("start") + F.length("text")).alias("end"), "pageindex", "sourcestart", "sourceend")
+    packed = blocks.where(F.col("text").isNotNull()).withColumn("start", start).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("b"))
+    segment = lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "pageindex", "sourcestart", "sourceend")])
+    return packed.select(*keys, F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("text"), F.transform("b", segment).alias("segments"))
+
+
+def section_passages(blocks: DataFrame) -> DataFrame:
+    """bookid, sectionno, text, segments: what is read of each section: prose and references, and all but ornaments where small print is the content. ``blocks`` as ``assign_sections`` gives them."""
+    whole = F.coalesce(F.col("sectionkind").isin(*FULL_TEXT_KINDS), F.lit(False)) & (F.col("kind") != "decorative")
+    own = blocks.where(F.col("sectionno").isNotNull() & (F.col("kind").isin("prose", "reference") | whole))
+    return passages(own.withColumn("_at", F.struct("pageindex", "blockno")), ["bookid", "sectionno"], "_at")
 
 
 def passage_sentences(passage: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,3 +69,30 @@ def anchored(units: DataFrame) -> DataFrame:
     shift = F.least(source, F.greatest(F.lit(0), half_up((F.col("start") - F.col("_seg.start")) / size * source)))
     out = units.withColumn("_seg", first).withColumns({"sourcepages": pages, "pageindex": F.col("_seg.pageindex"), "sourcestart": (F.col("_seg.sourcestart") + shift).cast("int"), "contexttext": F.substring(context_key(F.col("text")), 1, 240)})
     return out.withColumn("contexthash", context_hash("contexttext")).drop("_seg", "segments")
+
+
+def with_segments(units: DataFrame, passage: DataFrame, keys: list[str]) -> DataFrame:
+    """``units`` with the segments of their passage that they touch: both are met stretch by stretch, so that no unit sees the whole passage."""
+    over = lambda a, b: F.explode(F.sequence(F.floor(a / STRETCH), F.floor(b / STRETCH))).alias("_stretch")
+    segments = passage.select(*keys, F.explode("segments").alias("_s")).select(*keys, "_s", over(F.col("_s.start"), F.col("_s.end")))
+    rest = [c for c in units.columns if c not in (*keys, "unitno")]
+    own = units.select(*keys, "unitno", F.struct(*rest).alias("_u"), over(F.col("start"), F.col("end")))
+    met = own.join(segments, [*keys, "_stretch"]).where((F.col("_s.end") > F.col("_u.start")) & (F.col("_s.start") < F.col("_u.end")))
+    packed = met.groupBy(*keys, "unitno").agg(F.first("_u").alias("_u"), F.array_sort(F.collect_set("_s")).alias("segments"))
+    return packed.select(*keys, "unitno", *[F.col(f"_u.{c}").alias(c) for c in rest], "segments")
+
+
+def book_units(blocks: DataFrame, sections: DataFrame) -> DataFrame:
+    """The reading units of every book, numbered through it, with section, heading (on the first unit of a section) and anchor; from ``blocks`` with their sections and ``sections``."""
+    keys = ["bookid", "sectionno"]
+    passage = cut(section_passages(blocks))
+    own = cut(reading_units(passage_sentences(passage.select(*keys, "text"), keys), keys))
+    counts = own.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ahead = counts.withColumn("_ahead", F.sum("_n").over(Window.partitionBy("bookid").orderBy("sectionno")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("unitno")) - 1
+    numbered = own.withColumn("_inside", inside).join(ahead, keys).withColumn("unitno", (F.col("_ahead") + F.col("_inside")).cast("int")).drop("_ahead")
+    named = sections.where("accepted").select(*keys, F.col("kind").alias("sectionkind"), "title")
+    placed = anchored(with_segments(numbered, passage, keys)).join(named, keys)
+    return placed.select(
+        "bookid", "unitno", "sectionno", "sectionkind", F.when(F.col("_inside") == 0, F.col("title")).alias("heading"), "text", "sentencecount", "wordcount", "pageindex", "sourcestart", "sourcepages", "contexttext", "contexthash"
+    )

@@ -464,12 +464,25 @@ def source_chapters(spark: SparkSession, d: str) -> DataFrame:
     return navigation.source_chapters(_evidence(spark, d))
 
 
-@query()
-def sections(spark: SparkSession, d: str) -> DataFrame:
+def _sections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks, written once, and the sections of their books."""
     pages, found = _blocks(spark, d)
     evidence, found = cut(_evidence(spark, d)), cut(found)
     titles = records(spark, d).select(F.col("id").alias("bookid"), "title").join(pages.select("bookid").distinct(), "bookid", "left_semi")
-    return navigation.sections(found, evidence, navigation.source_chapters(evidence), pages, titles)
+    return found, navigation.sections(found, evidence, navigation.source_chapters(evidence), pages, titles)
+
+
+def _parse(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The main chain: blocks with their sections, the sections, and reading units."""
+    found, own = _sections(spark, d)
+    own = cut(own)
+    placed = cut(navigation.assign_sections(found, own))
+    return placed, own, units.book_units(placed, own)
+
+
+@query()
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    return _sections(spark, d)[1]
 
 
 @query()
@@ -528,7 +541,9 @@ def repaired_units(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def supplements(spark: SparkSession, d: str) -> DataFrame:
-    return repairs.supplements(_blocks(spark, d)[1], progress.unit_rows(table(spark, d, "prediction")))
+    """Notes, captions, tables and references with the nearest unit of the same parse."""
+    placed, _, own = _parse(spark, d)
+    return repairs.supplements(placed, cut(own.select("bookid", "sectionno", "unitno", "pageindex", "sourcepages")))
 
 
 @query(f"""WITH g AS (SELECT DISTINCT bookid, coalesce(trim(title), '') = '' a, readingstartpage IS NULL OR readingstartpage < 0 b, coalesce(bodywordcount < 0, false) c,
