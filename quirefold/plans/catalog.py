@@ -480,6 +480,12 @@ def _parse(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return placed, own, units.book_units(placed, own)
 
 
+@query()
+def book_units(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and spans to reading units: lines without running lines, blocks, sections, passages, sentences, units with anchors."""
+    return _parse(spark, d)[2]
+
+
 @query()
 def sections(spark: SparkSession, d: str) -> DataFrame:
     return _sections(spark, d)[1]

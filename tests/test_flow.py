@@ -1,4 +1,5 @@
 from quirefold.operators import navigation, repairs, units
+from quirefold.plans import catalog
 
 BLOCK = "bookid string, pageindex int, blockno int, kind string, text string, sourcestart int, sourceend int"
 SECTION = "bookid string, sectionno int, title string, kind string, pageindex int, blockno int, accepted boolean"
@@ -24,3 +25,22 @@ def test_supplements_look_in_their_own_section_first(spark):
     found = {(r.pageindex, r.blockno): (r.kind, r.unitno) for r in repairs.supplements(placed, own).collect()}
     # The caption on page 3 lies in the chapter, whose last unit is on page 2; the one in the index, which has no units, goes by the whole book.
     assert found == {(3, 1): ("caption", 1), (3, 3): ("reference", 2), (4, 0): ("footnote", 2), (6, 0): ("caption", 2)}
+
+
+def test_book_units_are_anchored_and_numbered_through_the_book(spark):
+    assert "book_units" in catalog.QUERIES
+    placed, sections = parsed(spark)
+    rows = units.book_units(placed, sections).orderBy("unitno").collect()
+    assert [(r.unitno, r.sectionno, r.heading) for r in rows] == [(0, 0, "Chapter One"), (1, 0, None), (2, 1, "Notes"), (3, 2, "Index")]
+    assert [r.text for r in rows] == ["It was late. He left.", "It rained on and on.", "Notes See the mill. 1 Small print.", "Figure 2. A lamp"]
+    assert [list(r.sourcepages) for r in rows] == [[1], [2, 3], [3, 4], [6]] and [(r.pageindex, r.sourcestart) for r in rows] == [(1, 0), (2, 0), (3, 0), (6, 0)]
+
+
+def test_segments_are_met_as_anchored_finds_them(spark):
+    texts = [("W" * 700 + f" word {i}.") for i in range(12)]
+    blocks = spark.createDataFrame([("b", i, 0, "prose", t, 3 * i, 3 * i + 900) for i, t in enumerate(texts)], BLOCK)
+    passage = units.passages(blocks, ["bookid"], "pageindex")
+    own = units.reading_units(units.passage_sentences(passage, ["bookid", "segments"]), ["bookid", "segments"])
+    whole = {(r.unitno, r.pageindex, r.sourcestart, tuple(r.sourcepages)) for r in units.anchored(own).collect()}
+    part = units.anchored(units.with_segments(own.drop("segments"), passage, ["bookid"]))
+    assert {(r.unitno, r.pageindex, r.sourcestart, tuple(r.sourcepages)) for r in part.collect()} == whole and len(whole) == 6
