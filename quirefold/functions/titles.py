@@ -47,7 +47,11 @@ def heading(text: str | None) -> str:
 
 
 def similarity(a: str | None, b: str | None) -> float:
-    x, y = key(a), key(b)
+    return key_similarity(key(a), key(b))
+
+
+def key_similarity(x: str, y: str) -> float:
+    """``similarity`` of texts from their keys."""
     if not x or not y:
         return 0.0
     if x == y:
