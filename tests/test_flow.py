@@ -1,4 +1,6 @@
-from quirefold.operators import navigation, repairs, units
+import random
+
+from quirefold.operators import layout, navigation, repairs, units
 from quirefold.plans import catalog
 
 BLOCK = "bookid string, pageindex int, blockno int, kind string, text string, sourcestart int, sourceend int"
@@ -44,3 +46,27 @@ def test_segments_are_met_as_anchored_finds_them(spark):
     whole = {(r.unitno, r.pageindex, r.sourcestart, tuple(r.sourcepages)) for r in units.anchored(own).collect()}
     part = units.anchored(units.with_segments(own.drop("segments"), passage, ["bookid"]))
     assert {(r.unitno, r.pageindex, r.sourcestart, tuple(r.sourcepages)) for r in part.collect()} == whole and len(whole) == 6
+
+
+LINE = "bookid string, pageindex int, lineno int, text string, sourcestart int, sourceend int, x double, y double, width double, height double, pagewidth double, pageheight double, fontsize double, bold boolean, centered boolean"
+
+
+def lines_of(spark, pages):
+    return spark.createDataFrame([("b", p, n, t, 100 * n, 100 * n + len(t), 68.0 + n, 200.0 + 12 * n, 5.0 * len(t), 12.0, 612.0, 792.0, 11.0, False, False) for p, texts in enumerate(pages) for n, t in enumerate(texts)], LINE)
+
+
+def test_blocks_keep_an_ellipsis_with_its_prose(spark):
+    lines = lines_of(spark, [["It was late and", ".", "..", "then he left the mill.", "End of it."]])
+    rows = layout.blocks(lines, layout.body_sizes(lines)).collect()
+    assert [(r.kind, r.text) for r in rows] == [("prose", "It was late and . .. then he left the mill. End of it.")]
+
+
+def test_joined_dots_agree_with_the_list_form(spark):
+    draw = random.Random(3)
+    pages = [[draw.choice([".", "..", "“.", "a", "... b", "'..", "End."]) for _ in range(draw.randrange(1, 9))] for _ in range(60)]
+    rows = layout.joined_dots(lines_of(spark, pages)).orderBy("pageindex", "lineno").collect()
+    for p, texts in enumerate(pages):
+        want = repairs.joined_dots([{"text": t, "sourcestart": 100 * n} for n, t in enumerate(texts)])
+        assert [(r.text, r.sourcestart) for r in rows if r.pageindex == p] == [(w["text"], w["sourcestart"]) for w in want], texts
+    first = layout.joined_dots(lines_of(spark, [[".", "..", "then"]])).first()
+    assert (first.x, first.y, first.width, first.height) == (68.0, 200.0, 22.0, 36.0)
