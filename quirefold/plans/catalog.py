@@ -210,11 +210,17 @@ def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Pages and their blocks; the lines are written once, as running lines, sizes and blocks all read them."""
+    """Pages and their blocks."""
+    pages, _, found = _lines_and_blocks(spark, d)
+    return pages, found
+
+
+def _lines_and_blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, all their lines, and blocks without running lines; the lines are written once, as running lines, sizes and blocks all read them."""
     pages, lines = _lines(spark, d)
     lines = cut(lines)
     kept = layout.without_running(lines, layout.running_clusters(lines, pages))
-    return pages, layout.blocks(kept, layout.body_sizes(kept))
+    return pages, lines, layout.blocks(kept, layout.body_sizes(kept))
 
 
 @query()
@@ -493,10 +499,9 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def book_metadata(spark: SparkSession, d: str) -> DataFrame:
-    pages, lines = _lines(spark, d)
-    lines = cut(lines)
+    pages, lines, found = _lines_and_blocks(spark, d)
     given = records(spark, d).select(F.col("id").alias("bookid"), "title", T.file_name(F.col("localpath")).alias("filename")).join(pages.select("bookid").distinct(), "bookid", "left_semi")
-    return metadata.book_metadata(lines, layout.blocks(lines, layout.body_sizes(lines)), given)
+    return metadata.book_metadata(lines, found, given, table(spark, d, "text_span"))
 
 
 @query(f"""WITH {ONE_RECORD}, t AS (SELECT id, array_to_string(list_concat([coalesce(doi, '')], isbns), ' | ') t FROM man1)
