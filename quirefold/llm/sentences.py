@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.chars import CYRILLIC_LOOK_ALIKES, GREEK_LOOK_ALIKES
 
-MOST_CANDIDATES = 64  # a sentence spans at most so many candidates; the model's longest segment
 
 # Abbreviations, without their last full stop, by what may follow them.
 BEFORE_NAMES = "mr mrs ms messrs dr prof st ste mme mlle mm sr sra srta dra d. dña don fr rev hon gen col maj capt lt sgt gov pres sen rep hr fr. frl hl проф д-р г-н г-жа акад им ул κ κα δρ डॉ श्री प्रो د أ mt ft"
@@ -264,8 +263,11 @@ def _spans(text: str) -> list[tuple[int, int]]:
     for a, b in zip(places, places[1:]):
         content.append(content[-1] + (1 if BREAKS_LEFT.search(text, a, b) else 0))
     best, back = [0.0] + [float("-inf")] * (len(places) - 1), [0] * len(places)
+    most = [0.0]  # the best start up to each place: what a span scores at most
     for j in range(1, len(places)):
-        for i in range(max(0, j - MOST_CANDIDATES), j):
+        for i in range(j - 1, -1, -1):
+            if most[i] + close[j] - 2.5 < best[j]:
+                break  # nothing further back can beat what is found
             size = places[j] - places[i]
             score = best[i] + opening[i] + close[j] - 2.5
             if content[j] == content[i]:
@@ -276,8 +278,9 @@ def _spans(text: str) -> list[tuple[int, int]]:
                 score -= 0.3
             if size > 1500:
                 score -= 0.001 * (size - 1500)
-            if score > best[j]:
+            if score >= best[j]:
                 best[j], back[j] = score, i
+        most.append(max(most[-1], best[j] + opening[j]))
     out, j = [], len(places) - 1
     while j > 0:
         out.append((places[back[j]], places[j]))
