@@ -1,8 +1,10 @@
 """Mixing sources to target weights (problem 8).
 
 Weighted fair queueing: the documents of a source, shuffled by hash and repeated at most as often as allowed, finish at
-virtual times, the source's tokens so far divided by its target share. All finish times are put in one order and cut where
-the budget of tokens is spent. Running sums are made in two steps, so no source and no stretch of time is one task: sums
+virtual times, the source's tokens so far divided by its target share. All finish times are put in one order, which is cut
+where the next document would exceed the budget of tokens. A long document that is in flight at the cut, begun but not finished,
+would leave its source short of its share by what has begun of it: it waits at the end of its source's queue instead, and the next one
+is looked at. Only such documents change their place, so the queue chooses the rows and the cut is made by the total alone. Running sums are made in two steps, so no source and no stretch of time is one task: sums
 per bucket of the shuffle, their prefix, then sums within a bucket; the same for the order of finish times.
 """
 
@@ -16,8 +18,45 @@ from quirefold.session import cut
 
 BUCKET = 50_000  # rows of a bucket, about
 SPAN = 1 << 30
-PASSES = 6  # over what is left of the quotas
-NEAR = 0.002  # of its quota a source may lack before another pass
+NEAR = 0.002  # of its share a source may lack at the cut
+IN_FLIGHT = 50  # long documents of a source that may be moved behind its others
+
+
+def _prefixes(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """The sum of each column of ``sums`` over the rows of the group before this one; a row per bucket, not per document."""
+    before = Window.partitionBy(*group).orderBy(*order)
+    return df.select(*group, *order, *[(F.sum(c).over(before) - F.col(c)).alias(out) for c, out in sums.items()])
+
+
+def _without_overhang(timed: DataFrame, spend: float, part: dict[str, float], whole: dict[str, float]) -> DataFrame:
+    """``timed`` with the long documents that are in flight at time ``spend`` put behind all others of their source.
+
+    A handful of documents a source: each round looks at one row of each, and what was moved is known by its finish time.
+    """
+    moved: dict[str, list[tuple[float, int]]] = {s: [] for s in whole}
+    if not moved:
+        return timed
+    for _ in range(IN_FLIGHT):
+        until = {s: spend + sum(n for _, n in m) / part[s] for s, m in moved.items()}
+        limit = F.create_map(*[F.lit(x) for pair in until.items() for x in pair])[F.col("source")]
+        ahead = timed.where(F.col("finish") > limit * (1 + 1e-12)).groupBy("source").agg(F.min(F.struct("finish", "n_tokens")).alias("next")).collect()  # as many rows as targets
+        settled = True
+        for r in ahead:
+            begun = until[r["source"]] - (r["next"]["finish"] - r["next"]["n_tokens"] / part[r["source"]])
+            if begun > NEAR * spend:
+                moved[r["source"]].append((r["next"]["finish"], r["next"]["n_tokens"]))
+                settled = False
+        if settled:
+            break
+    finish = F.col("finish")
+    for s, late in moved.items():
+        this = F.col("source") == s
+        for i, (end, n) in enumerate(late):
+            behind = whole[s] - sum(later for _, later in late[i + 1 :])
+            own = (F.col("finish") == end) & (F.col("n_tokens") == n)
+            finish = F.when(this & own, F.lit(behind / part[s])).otherwise(finish - F.when(this & ~own & (F.col("finish") >= end), n / part[s]).otherwise(0.0))
+    timed = timed.withColumn("_finish", finish).drop("finish").withColumnRenamed("_finish", "finish")
+    return timed
 
 
 def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -37,39 +76,23 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, key:
     spend = able if budget is None else min(float(budget), able)
     rows = sum(n * aim[s][1] for s, (_, n) in have.items())
     buckets = max(1, -(-rows // BUCKET))
-    quota = {s: spend * aim[s][0] / whole for s, (tokens, _) in have.items() if tokens}
-
-    def running(df: DataFrame) -> DataFrame:
-        """``so_far``: the source's tokens up to and with each row, in the shuffled order of each copy."""
-        ahead = df.groupBy("source", "copy", "bucket").agg(F.sum("n_tokens").alias("n"))
-        ahead = ahead.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("copy", "bucket")) - F.col("n")).drop("n")
-        inside = F.sum("n_tokens").over(Window.partitionBy("source", "copy", "bucket").orderBy("luck", key).rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn("inside", inside).join(ahead, ["source", "copy", "bucket"]).withColumn("so_far", F.col("inside") + F.col("before")).drop("inside", "before")
-
-    copies = sized.join(F.broadcast(aims), "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("most").cast("int") - 1))).drop("most", "share")
-    copies = copies.withColumn("luck", F.pmod(F.xxhash64(F.lit("mix"), key, "copy"), F.lit(SPAN))).withColumn("bucket", F.expr(f"luck * {buckets} div {SPAN}")).withColumn("taken", F.lit(False))
-    # A document too large for what is left of its source's quota is passed over, and the next ones that fit are taken.
-    short = dict(quota)
-    for _ in range(PASSES):
-        limits = F.create_map(*[F.lit(x) for pair in short.items() for x in pair]) if short else F.lit(None).cast("map<string,double>")
-        limit = limits[F.col("source")]
-        fits = ~F.col("taken") & limit.isNotNull() & (F.col("n_tokens") <= limit * (1 + 1e-12))
-        now = running(copies.where(fits)).withColumn("taken", F.col("so_far") <= limit * (1 + 1e-12)).drop("so_far")
-        copies = cut(now.unionByName(copies.where(F.coalesce(~fits, F.lit(True)))))
-        got = {r["source"]: r["n"] for r in copies.where("taken").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # as many rows as targets
-        short = {s: q - got.get(s, 0) for s, q in quota.items() if q - got.get(s, 0) > NEAR * q}
-        if not short:
-            break
-    share = F.create_map(*[F.lit(x) for s, (portion, _) in aim.items() for x in (s, portion / (whole or 1.0))])[F.col("source")] if aim else F.lit(1.0)
-    timed = cut(running(copies.where("taken")).withColumn("finish", F.col("so_far") / share).select("finish", key, "copy", "source", "n_tokens"))
-
-    # The global order: stretches of virtual time hold about as many tokens each.
-    timed = timed.withColumn("stretch", F.least(F.floor(F.col("finish") / F.lit(max(spend, 1.0)) * buckets), F.lit(buckets)))
-    sums = timed.groupBy("stretch").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"))
-    prefix = Window.orderBy("stretch")  # one row per stretch
-    sums = sums.select("stretch", (F.sum("t").over(prefix) - F.col("t")).alias("t0"), (F.sum("c").over(prefix) - F.col("c")).alias("c0"))
+
+    copies = sized.join(F.broadcast(aims), "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("most").cast("int") - 1))).drop("most")
+    part = {s: share / (whole or 1.0) for s, (share, _) in aim.items()}
+    copies = copies.withColumn("luck", F.pmod(F.xxhash64(F.lit("mix"), key, "copy"), F.lit(SPAN))).withColumn("bucket", F.expr(f"luck * {buckets} div {SPAN}"))
+    mine = ["source", "copy", "bucket"]
+    ahead = _prefixes(copies.groupBy(*mine).agg(F.sum("n_tokens").alias("n")), ["source"], ["copy", "bucket"], {"n": "before"})
+    inside = F.sum("n_tokens").over(Window.partitionBy(*mine).orderBy("luck", key).rowsBetween(Window.unboundedPreceding, 0))
+    timed = copies.withColumn("inside", inside).join(ahead, mine)
+    timed = cut(timed.select(((F.col("before") + F.col("inside")) / (F.col("share") / F.lit(whole or 1.0))).alias("finish"), key, "copy", "source", "n_tokens"))
+    timed = _without_overhang(timed, spend, part, {s: float(tokens * aim[s][1]) for s, (tokens, _) in have.items() if tokens})
+
+    # The global order: stretches of virtual time hold about as many tokens each; stretches that begin beyond the budget are never ordered.
+    timed = timed.withColumn("stretch", F.floor(F.col("finish") / F.lit(max(spend, 1.0)) * buckets))
+    sums = cut(timed.groupBy("stretch").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c")))
+    sums = _prefixes(sums.withColumn("all", F.lit(1)), ["all"], ["stretch"], {"t": "t0", "c": "c0"}).where(F.col("t0") <= spend).drop("all")
     order = Window.partitionBy("stretch").orderBy("finish", "source", "copy", key)
-    placed = timed.withColumns({"t1": F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)), "c1": F.row_number().over(order)}).join(sums, "stretch")
+    placed = timed.join(sums, "stretch").withColumns({"t1": F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)), "c1": F.row_number().over(order)})
     return placed.where(F.col("t0") + F.col("t1") <= F.lit(spend) * (1 + 1e-12)).select((F.col("c0") + F.col("c1")).alias("place"), key, "copy", "source", "n_tokens")
 
 
