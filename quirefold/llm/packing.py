@@ -1,9 +1,9 @@
 """Filling fixed-capacity containers with items (problem 7).
 
 Only sizes matter to the packing, and there are at most as many sizes as the capacity, however many documents there are.
-So the documents are counted by size, and bin completion runs on that table: around the largest item left, fillings
-that no other filling dominates are enumerated, the best is applied as often as its items last, and choices are taken back
-while the waste spent stays below the best solution's; a best-fit packing is the first incumbent. The result is a list of
+So the documents are counted by size, and bin completion runs on that table: around the largest item left, the fillings
+that no other one dominates are enumerated from the least waste up, the first is applied as often as its items last, and choices are
+taken back while the waste spent stays below the best solution's; a best-fit packing is the first incumbent. The result is a list of
 patterns; every document finds its container from its rank among the documents of its size. A document is divided only
 if it exceeds a container: then it fills containers of its own, and what is left over is packed like another document.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from quirefold.llm.tokens import VOCABULARY, with_tokens
 from quirefold.session import cut
 
-FILLINGS = 400  # places looked at when one container is filled
-BACKTRACKS = 60  # choices taken back after the first solution
+BACKTRACKS = 2000  # choices taken back after the first solution; the search then ends unproven, and says so
+LOOKS = 500_000  # fillings looked at in backtracking, dominated ones included; the same holds
 RANKED = 200_000  # documents ranked together, about
 
 
@@ -44,48 +44,85 @@ class _Counts:
         self.left[size] += n
 
 
-def fillings(counts: _Counts, room: int, most: int = 3, looks: int = FILLINGS) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, sizes) of undominated fillings of ``room``, least waste first.
+def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the items of ``b`` can be put into the items of ``a`` as into bins, so that ``a`` does whatever ``b`` does.
 
-    Sizes are tried from the largest down, so a filling that another one dominates by larger items comes later and is
-    kept only if it wastes less; a filling is closed only when nothing left fits any more.
+    Two fillings of many items are not compared: a dominated filling that is kept costs time and no solution.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    best = room + 1
-    looked = 0
-    used: dict[int, int] = {}
-    chosen: list[int] = []
-
-    def search(room: int, top: int) -> bool:
-        nonlocal best, looked
-        at = bisect.bisect_right(counts.sizes, min(room, top)) - 1
-        while at >= 0 and counts.left[counts.sizes[at]] <= used.get(counts.sizes[at], 0):
-            at -= 1
-        if at < 0:
-            if room < best or (room == best and len(found) < most):
-                best = min(best, room)
-                found.append((room, tuple(chosen)))
-            return best == 0 and len(found) >= most
-        tried = 0
-        while at >= 0 and tried < 6:
-            size = counts.sizes[at]
-            if counts.left[size] > used.get(size, 0):
-                looked += 1
-                if looked > looks:
-                    return True
-                tried += 1
-                used[size] = used.get(size, 0) + 1
-                chosen.append(size)
-                stop = search(room - size, size)
-                chosen.pop()
-                used[size] -= 1
-                if stop:
+    if len(a) > 8 or len(b) > 8:
+        return False
+
+    def place(i: int, rooms: tuple[int, ...]) -> bool:
+        if i == len(b):
+            return True
+        tried = set()
+        for k, room in enumerate(rooms):
+            if room >= b[i] and room not in tried:
+                tried.add(room)
+                if place(i + 1, (*rooms[:k], room - b[i], *rooms[k + 1 :])):
                     return True
-            at -= 1
         return False
 
-    search(room, room)
-    return sorted(set(found), key=lambda f: (f[0], tuple(-s for s in f[1])))[:most] or [(room, ())]
+    return place(0, a)
+
+
+def fillings(counts: _Counts, room: int, most_waste: int | None = None, looks: list[int] | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, sizes) of the undominated fillings of ``room``, least waste first and larger items first; lazily, without a bound on their number
+    (but that of ``looks``, which counts down over a whole search, and at which the enumeration ends early).
+
+    The sums that the sizes can make are bit sets, one for each size with all smaller ones (a size that is left n times is
+    added in parts of 1, 2, 4, ... items). They say what waste is possible at all, and lead the enumeration, which so meets no dead end.
+    """
+    sizes = counts.sizes[: bisect.bisect_right(counts.sizes, room)]
+    mask = (1 << (room + 1)) - 1
+    reach = [1]
+    for s in sizes:
+        sums, n, step = reach[-1], min(counts.left[s], room // s), 1
+        while n > 0:
+            step = min(step, n)
+            sums |= sums << (s * step) & mask
+            n, step = n - step, step * 2
+        reach.append(sums)
+
+    def exact(top: int, total: int) -> Iterator[tuple[int, ...]]:
+        """Multisets of the first ``top`` sizes with the sum ``total``, larger items first."""
+        chosen: list[tuple[int, int]] = []  # (size number, items taken of it)
+        stack = [(top, total, 0)]  # size numbers below ``top`` are open
+        while stack:
+            top, total, depth = stack.pop()
+            del chosen[depth:]
+            if top < 0:
+                chosen.append((-top - 1, total))
+                continue
+            if total == 0:
+                yield tuple(sizes[k] for k, n in chosen for _ in range(n))
+                continue
+            k = min(top, bisect.bisect_right(sizes, total)) - 1
+            if k < 0 or not reach[k + 1] >> total & 1:
+                continue
+            # Without this size last, then with more and more of it, so that most of it is popped first.
+            stack.append((k, total, depth))
+            for n in range(1, min(counts.left[sizes[k]], total // sizes[k]) + 1):
+                if reach[k] >> (total - n * sizes[k]) & 1:
+                    stack.append((k, total - n * sizes[k], depth + 1))
+                    stack.append((-k - 1, n, depth))
+
+    kept: list[tuple[int, ...]] = []
+    for waste in range(room + 1 if most_waste is None else min(room, most_waste) + 1):
+        if not reach[-1] >> (room - waste) & 1:
+            continue
+        for chosen in exact(len(sizes), room - waste):
+            if looks is not None:
+                looks[0] -= 1
+                if looks[0] < 0:
+                    return
+            used = {s: chosen.count(s) for s in set(chosen)}
+            if any(s <= waste and counts.left[s] > used.get(s, 0) for s in sizes[: bisect.bisect_right(sizes, waste)]):
+                continue  # something still fits: a fuller filling dominates it
+            if not any(_dominates(k, chosen) for k in kept):
+                if len(chosen) <= 8 and len(kept) < 64:
+                    kept.append(chosen)
+                yield waste, chosen
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -111,58 +148,91 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return patterns
 
 
-def bin_completion(counts: dict[int, int], capacity: int, backtracks: int = BACKTRACKS) -> list[tuple[tuple[int, ...], int]]:
-    """(sizes, times) of the containers of the best packing found; it stops at the lower bound on containers."""
+def least_containers(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: by size, and by the items that cannot share a container with one above a threshold."""
+    total = sum(s * n for s, n in counts.items())
+    best = -(-total // capacity)
+    sizes = sorted(counts)
+    number, weight = [0], [0]
+    for s in sizes:
+        number.append(number[-1] + counts[s])
+        weight.append(weight[-1] + s * counts[s])
+    half = bisect.bisect_right(sizes, capacity // 2)
+    for k in range(half + 1):
+        least = sizes[k] if k < half else capacity // 2 + 1  # smaller items are left out
+        above = bisect.bisect_right(sizes, capacity - least)
+        alone = number[-1] - number[above]
+        big, big_weight = number[above] - number[half], weight[above] - weight[half]
+        small = weight[half] - weight[min(k, half)]
+        best = max(best, alone + big + max(0, -(-(small - (big * capacity - big_weight)) // capacity)))
+    return best
+
+
+def bin_completion(counts: dict[int, int], capacity: int, backtracks: int = BACKTRACKS) -> tuple[list[tuple[tuple[int, ...], int]], str]:
+    """(sizes, times) of the containers of the best packing found, and how the search ended.
+
+    That is ``bound`` (no packing can have fewer containers), ``exhausted`` (every undominated choice was tried, so none has) or ``stopped``
+    (``backtracks`` choices were taken back, or LOOKS fillings looked at). Each container around the largest item left takes a filling as often as it lasts, or,
+    when that is taken back, once: so every packing can be met.
+    """
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
-        return []
+        return [], "bound"
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError("sizes must lie between one and the capacity")
     total = sum(s * n for s, n in counts.items())
-    bound = -(-total // capacity)
+    bound = least_containers(counts, capacity)
     best = best_fit(counts, capacity)
     fewest = sum(t for _, t in best)
     left = _Counts(counts)
-    path: list[tuple[tuple[int, ...], int, int, list]] = []  # what was applied, how often, the waste of it, other choices
+    path: list[tuple[tuple[int, ...], int, int, Iterator]] = []  # what was applied, how often, the waste of it, other choices
     bins = waste = 0
-    again = backtracks
+
+    def choices() -> Iterator[tuple[int, tuple[int, ...], int]]:
+        first = left.sizes[-1]
+        left.take(first, 1)
+        slack = (fewest - 1) * capacity - total - waste  # more waste than this a better solution cannot afford
+        found = fillings(_Counts({s: left.left[s] for s in left.sizes}), capacity - first, slack, looks)
+        left.give(first, 1)
+        for lost, filling in found:
+            need: dict[int, int] = {}
+            for s in (first, *filling):
+                need[s] = need.get(s, 0) + 1
+            times = min(left.left[s] // n for s, n in need.items())
+            yield lost, (first, *filling), times
+            if times > 1:
+                yield lost, (first, *filling), 1
+
+    looks = [LOOKS]
+    ended, options = "bound", choices()
     while fewest > bound:
-        back = False
-        if not left.sizes:
+        choice = next(options, None)
+        if choice is not None and waste + choice[0] * choice[2] <= (fewest - 1) * capacity - total:
+            lost, pattern, times = choice
+            for s in pattern:
+                left.take(s, times)
+            path.append((pattern, times, lost, options))
+            bins, waste = bins + times, waste + lost * times
+            if left.sizes:
+                options = choices()
+                continue
             if bins < fewest:
                 best, fewest = [(p, t) for p, t, _, _ in path], bins
-            back = True
-        elif waste > (fewest - 1) * capacity - total:
-            back = True  # more is wasted than a better solution can afford
-        if back:
-            again -= 1
-            while path and not path[-1][3]:
-                pattern, times, lost, _ = path.pop()
-                for s in pattern:
-                    left.give(s, times)
-                bins, waste = bins - times, waste - lost * times
-            if not path or again < 0:
-                break
-            pattern, times, lost, others = path.pop()
-            for s in pattern:
-                left.give(s, times)
-            bins, waste = bins - times, waste - lost * times
-            options = others
-        else:
-            first = left.sizes[-1]
-            left.take(first, 1)
-            options = [(w, (first, *f)) for w, f in fillings(left, capacity - first)]
-            left.give(first, 1)
-        (lost, pattern), options = options[0], options[1:]
-        need: dict[int, int] = {}
+        elif choice is not None:
+            continue
+        # Nothing more to choose here, or a solution: the last choice is taken back.
+        if not path:
+            ended = "exhausted"
+            break
+        if backtracks <= 0 or looks[0] < 0:
+            ended = "stopped"
+            break
+        backtracks -= 1
+        pattern, times, lost, options = path.pop()
         for s in pattern:
-            need[s] = need.get(s, 0) + 1
-        times = min(left.left[s] // n for s, n in need.items())
-        for s, n in need.items():
-            left.take(s, n * times)
-        path.append((pattern, times, lost, options))
-        bins, waste = bins + times, waste + lost * times
-    return best
+            left.give(s, times)
+        bins, waste = bins - times, waste - lost * times
+    return best, ended
 
 
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
@@ -179,7 +249,11 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """key, part, container, n_tokens, tokenstart of every document (or, for one above the capacity, of each of its parts).
+    return packed_and_ended(docs, capacity, key, text, vocabulary)[0]
+
+
+def packed_and_ended(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> tuple[DataFrame, str]:
+    """How the search ended (see ``bin_completion``), and key, part, container, n_tokens, tokenstart of every document (or, for one above the capacity, of each of its parts).
 
     Documents without tokens (null and empty texts) go to container 0 with size 0. Rows with the same key count each.
     """
@@ -190,7 +264,7 @@ def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text"
     items = whole.where("rest > 0").select(key, F.col("full").cast("int").alias("part"), F.col("rest").alias("size"), (F.col("full") * capacity).alias("tokenstart"))
     full = whole.where("full > 0").select(key, F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("part"))
     counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    patterns = bin_completion(counts, capacity)
+    patterns, ended = bin_completion(counts, capacity)
     slots, packed = _slots(patterns), sum(t for _, t in patterns)
     ranked = max(1, -(-sum(counts.values()) // RANKED))
     where = {s: np.searchsorted(slots[:, 0], [s, s + 1]) for s in counts}
@@ -219,13 +293,13 @@ def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text"
     number = F.row_number().over(Window.partitionBy("bucket").orderBy(key, "part")).cast("long") - 1
     large = many.withColumn("r", number).join(ahead, "bucket").select(key, "part", (F.lit(packed) + F.col("before") + F.col("r")).alias("container"), F.lit(capacity).cast("long").alias("n_tokens"), (F.col("part") * F.lit(capacity)).cast("long").alias("tokenstart"))
     none = sized.where("n_tokens = 0").select(key, F.lit(0).alias("part"), F.lit(0).cast("long").alias("container"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("tokenstart"))
-    return small.unionByName(large).unionByName(none)
+    return small.unionByName(large).unionByName(none), ended
 
 
-def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """n_containers, n_tokens, least_containers possible by size, unused_share, fullest."""
+def packing_report(packed: DataFrame, capacity: int, ended: str = "") -> DataFrame:
+    """n_containers, n_tokens, least_containers possible by size, unused_share, fullest, and how the search ended."""
     per = packed.groupBy("container").agg(F.sum("n_tokens").alias("held"))
     return per.agg(
         F.count("*").alias("n_containers"), F.coalesce(F.sum("held"), F.lit(0)).alias("n_tokens"), F.ceil(F.coalesce(F.sum("held"), F.lit(0)) / F.lit(capacity)).alias("least_containers"),
-        F.round(1 - F.sum("held") / (F.count("*") * F.lit(float(capacity))), 6).alias("unused_share"), F.max("held").alias("fullest"),
+        F.round(1 - F.sum("held") / (F.count("*") * F.lit(float(capacity))), 6).alias("unused_share"), F.max("held").alias("fullest"), F.lit(ended).alias("ended"),
     )

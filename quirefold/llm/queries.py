@@ -83,7 +83,9 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packing_report(p7_containers(spark, d), _capacity(spark, d))
+    capacity = _capacity(spark, d)
+    packed, ended = packing.packed_and_ended(table(spark, d, "documents"), capacity)
+    return packing.packing_report(packed, capacity, ended)
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:

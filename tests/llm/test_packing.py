@@ -20,7 +20,7 @@ def check(counts, patterns, capacity):
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(0, 30), max_size=12))
 def test_every_item_is_packed_once(counts):
-    patterns = packing.bin_completion(counts, 50)
+    patterns, _ = packing.bin_completion(counts, 50)
     check(counts, patterns, 50)
     assert sum(t for _, t in patterns) <= sum(t for _, t in packing.best_fit({s: n for s, n in counts.items() if n}, 50))
 
@@ -40,14 +40,35 @@ def test_against_brute_force():
     rng = random.Random(1)
     for _ in range(30):
         items = [rng.randint(1, 20) for _ in range(6)]
-        patterns = packing.bin_completion(dict(Counter(items)), 20)
+        patterns, _ = packing.bin_completion(dict(Counter(items)), 20)
         assert sum(t for _, t in patterns) == fewest(items, 20)
 
 
+def test_fillings_are_exact_and_undominated():
+    left = packing._Counts({6: 1, 4: 1, 7: 1, 3: 2, 2: 1})
+    assert list(packing.fillings(left, 10)) == [(0, (7, 3)), (0, (6, 4))]
+    waste, filling = next(packing.fillings(packing._Counts({1: 5000, 3: 5000}), 2000))
+    assert waste == 0 and sum(filling) == 2000 and len(filling) > 600
+    rng = random.Random(3)
+    for _ in range(40):
+        items = [rng.randint(1, 15) for _ in range(7)]
+        sums = {sum(c) for n in range(8) for c in itertools.combinations(items, n)}
+        assert next(packing.fillings(packing._Counts(dict(Counter(items))), 30))[0] == 30 - max(s for s in sums if s <= 30)
+
+
+def test_how_the_search_ended():
+    assert packing.bin_completion({5: 4}, 10)[1] == "bound"
+    patterns, ended = packing.bin_completion({4: 3, 5: 2, 7: 2}, 12)
+    assert ended in ("bound", "exhausted") and sum(t for _, t in patterns) == fewest([4] * 3 + [5] * 2 + [7] * 2, 12)
+    rng = random.Random(4)
+    hard = Counter(rng.randint(400, 900) for _ in range(500))
+    assert packing.bin_completion(dict(hard), 2048, backtracks=5)[1] == "stopped"
+
+
 def test_many_items_reach_the_bound():
     rng = random.Random(2)
     counts = Counter(min(2048, int(rng.lognormvariate(5, 1)) + 1) for _ in range(20_000))
-    patterns = packing.bin_completion(dict(counts), 2048)
+    patterns, _ = packing.bin_completion(dict(counts), 2048)
     check(counts, patterns, 2048)
     total = sum(s * n for s, n in counts.items())
     assert sum(t for _, t in patterns) <= -(-total // 2048) + 1
