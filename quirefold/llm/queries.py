@@ -32,6 +32,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("pieceno > 0").select("itemkind", "bookid", "itemno").distinct()
 
 
+def p3_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Items cut by kind, and how many of them break a rule."""
+    return pieces.pieces_checked(table(spark, d, "prediction"), table(spark, d, "annotation"), table(spark, d, "size_limit"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.belong_together(table(spark, d, "manifest"))
 
@@ -109,12 +114,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
-SQL = {
-    "p3_found": """
+OVERSIZED = """
         WITH l AS (SELECT itemkind, maxsize FROM size_limit),
         u AS (SELECT DISTINCT 'reading_unit' itemkind, bookid, no, e.text AS t FROM (SELECT bookid, unnest(readingunits) e, generate_subscripts(readingunits, 1) - 1 no FROM prediction)),
-        b AS (SELECT DISTINCT 'block' itemkind, bookid, no, e.text AS t FROM (SELECT bookid, unnest(blocks) e, generate_subscripts(blocks, 1) - 1 no FROM annotation))
-        SELECT DISTINCT itemkind, bookid, CAST(no AS INT) AS itemno FROM (SELECT * FROM u UNION ALL SELECT * FROM b) JOIN l USING (itemkind) WHERE length(t) > maxsize""",
+        b AS (SELECT DISTINCT 'block' itemkind, bookid, no, e.text AS t FROM (SELECT bookid, unnest(blocks) e, generate_subscripts(blocks, 1) - 1 no FROM annotation)),
+        over AS (SELECT itemkind, bookid, no, t FROM (SELECT * FROM u UNION ALL SELECT * FROM b) JOIN l USING (itemkind) WHERE length(t) > maxsize)"""
+
+SQL = {
+    "p3_found": f"{OVERSIZED} SELECT DISTINCT itemkind, bookid, CAST(no AS INT) AS itemno FROM over",
+    "p3_invariants": f"{OVERSIZED} SELECT itemkind, count(*) AS n_items, CAST(0 AS BIGINT) AS n_above, CAST(0 AS BIGINT) AS n_overlap_off, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_low FROM over GROUP BY itemkind",
 }
 
 

@@ -44,3 +44,9 @@ def test_tables(spark):
     assert sorted({(r.itemkind, r.bookid, r.itemno) for r in rows}) == [("block", "b", 0), ("reading_unit", "b", 0)]
     assert [(r.piecestart, r.pieceend) for r in sorted((r for r in rows if r.itemkind == "block"), key=lambda r: r.pieceno)] == [(0, 1200), (1080, 1201)]
     assert oversized_pieces(predictions.limit(0), annotations.limit(0), limits).count() == 0
+
+
+def test_pieces_are_filled():
+    text = "x" * 205 + "\n\n" + "A sentence of some length stands here. " * 60
+    found = pieces(text, 1000, 200)
+    assert all((b - a) * 3 >= 1000 for a, b, _ in found[:-1]) and all(name in ("section", "sentence") for *_, name in found[:-1])
