@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.llm import hot
 from quirefold.llm.chars import with_plain
 from quirefold.session import cut
 
@@ -21,7 +22,8 @@ LARGE = 2048  # a component is large if it has this part of all records or more
 BUCKET = 2000  # components annealed together, about
 REPLICAS = 4
 STEPS = 20_000
-BINS = 8  # label values are counted in this many bins
+LABELS = 32  # label values balanced one by one; rarer ones share REST more bins by hash
+REST = 8
 
 # Legal forms and usual abbreviations in names of publishing houses.
 LEGAL_FORMS = "gmbh|ag|kg|ohg|se|sa|sas|sarl|srl|spa|sl|bv|nv|oy|ab|as|aps|ltd|limited|inc|incorporated|llc|llp|lp|plc|pty|corp|corporation|co|company|cie|and co|and company|und co|et cie|gmbh and co kg|mbh|ooo|kk"
@@ -60,30 +62,35 @@ def links(records: DataFrame) -> DataFrame:
     return a.unionByName(b).where(F.col("key").isNotNull() & F.col("id").isNotNull()).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    return hot.joined(both.where("v > u"), least, ["u"], "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    across = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    across = hot.joined(down, least, ["u"], "v", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return across.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(linked: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, root for every id that belongs with another: root is the smallest id of its component, and has a row too."""
-    least = linked.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    edges = cut(linked.join(least, "key").select(F.col("id").alias("u"), "v").where("u <> v").distinct())
+    """id, root for every id that belongs with another: root is the smallest id of its component, and has a row too.
+
+    Rounds grow with the logarithm of the longest chain; should ``most_rounds`` not do, an error is raised and no result given.
+    """
+    linked = cut(linked)
+    least = linked.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1")
+    edges = cut(hot.joined(linked, least, ["key"], "id", linked.count()).select(F.col("id").alias("u"), "v").where("u <> v").distinct())
     before = None
+    total = edges.count()
     for _ in range(most_rounds):
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges, 2 * total), total))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
@@ -154,20 +161,26 @@ def _annealed(parts: DataFrame) -> DataFrame:
 
 
 def split_assignment(records: DataFrame, targets: DataFrame, label: str = "pagetier") -> DataFrame:
-    """id, root, split for every id, related ids together and the shares near ``targets`` (split, share).
+    """id, root, split for every id, related ids together and the shares near ``targets`` (split, share), of all records and of each value of ``label``.
 
+    The root is the smallest id of those that belong together, an id's own if it belongs with none.
     Ids delivered twice count once; null ids are left out. A component larger than its split's share goes where it
     does least harm. The targets are a handful of rows fixed by the user.
     """
     wanted = [(r["split"], float(r["share"])) for r in targets.orderBy("split").collect()]
     names, shares = [w[0] for w in wanted], np.array([w[1] for w in wanted]) / sum(w[1] for w in wanted)
     ids = records.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(label).alias("label"))
-    roots = cut(ids.join(components(links(records)), "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.pmod(F.xxhash64("label"), F.lit(BINS)).cast("int").alias("bin")))
-    parts = roots.groupBy("root").agg(F.count("*").alias("size"), *[F.sum((F.col("bin") == b).cast("long")).alias(f"b{b}") for b in range(BINS)])
+    values = [r["label"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
+    bin_ = F.lit(len(values)) + F.pmod(F.xxhash64("label"), F.lit(REST)).cast("int")
+    for i, value in enumerate(values):
+        bin_ = F.when(F.col("label").eqNullSafe(F.lit(value)), i).otherwise(bin_)
+    bins = len(values) + (REST if len(values) == LABELS else 0)
+    roots = cut(ids.join(components(links(records)), "id", "left").select("id", F.coalesce("root", "id").alias("root"), bin_.alias("bin")))
+    parts = roots.groupBy("root").agg(F.count("*").alias("size"), *[F.sum((F.col("bin") == b).cast("long")).alias(f"b{b}") for b in range(bins)])
     luck = F.pmod(F.xxhash64(F.lit("start"), "root"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     edges = np.cumsum(shares)[:-1].tolist()
     start = sum([F.when(luck >= e, 1).otherwise(0) for e in edges], F.lit(0))
-    parts = cut(parts.select("root", "size", F.array(*[f"b{b}" for b in range(BINS)]).alias("labels"), start.cast("int").alias("start")))
+    parts = cut(parts.select("root", "size", F.array(*[f"b{b}" for b in range(bins)]).alias("labels"), start.cast("int").alias("start")))
     total, n = parts.agg(F.sum("size"), F.count("*")).first()
     if not n:
         return roots.select("id", "root", F.lit(None).cast("string").alias("split"))
@@ -194,3 +207,18 @@ def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     whole = assigned.groupBy("split").agg(F.count("*").alias("n_ids"), F.count_distinct("root").alias("n_groups"))
     every = whole.withColumn("share", F.col("n_ids") / F.sum("n_ids").over(Window.partitionBy(F.lit(1))))
     return targets.select("split", F.col("share").alias("target")).join(every, "split", "left").select("split", F.coalesce("n_ids", F.lit(0)).alias("n_ids"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"), "target")
+
+
+def kept_together(assigned: DataFrame) -> DataFrame:
+    """ida, idb: the smallest id of each group that the assignment keeps together, with each of its others."""
+    return assigned.where("id <> root").select(F.col("root").alias("ida"), F.col("id").alias("idb"))
+
+
+def splits_checked(records: DataFrame, assigned: DataFrame, targets: DataFrame, near: float = 0.01) -> DataFrame:
+    """split, target, whether its share is ``near`` the target, and over all splits: houses and persons that stand in several, ids that have no split or two."""
+    per_key = links(records).join(assigned, "id").groupBy("key").agg(F.count_distinct("split").alias("n"))
+    apart = per_key.agg(F.count_if(F.col("n") > 1).alias("n_apart"))
+    wrong = records.where(F.col("id").isNotNull()).select("id").distinct().join(assigned.groupBy("id").agg(F.count("*").alias("n")), "id", "full")
+    wrong = wrong.agg(F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("n_wrong"))
+    reached = split_report(assigned, targets).select("split", "target", (F.abs(F.col("share") - F.col("target")) <= near).alias("is_near"))
+    return reached.join(F.broadcast(apart)).join(F.broadcast(wrong))  # tables of one row

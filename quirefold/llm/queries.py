@@ -38,7 +38,8 @@ def p3_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return groups.belong_together(table(spark, d, "manifest"))
+    """Ids that the assignment keeps together, as it found them to belong together."""
+    return groups.kept_together(p4_splits(spark, d))
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +50,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return groups.split_report(p4_splits(spark, d), table(spark, d, "split_target"))
 
 
+def p4_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Shares near their targets, nothing related apart, every id once."""
+    return groups.splits_checked(table(spark, d, "manifest"), p4_splits(spark, d), table(spark, d, "split_target"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return chars.not_plain(table(spark, d, "text_span"), table(spark, d, "annotation"))
 
@@ -68,7 +74,8 @@ def p6_pages(spark: SparkSession, d: str) -> DataFrame:
     """Every page without its book's repeated lines."""
     pages = table(spark, d, "page_extraction")
     found = lines.page_lines(pages).withColumnsRenamed({"bookid": "source", "pageindex": "doc"})
-    once = pages.select("bookid", "pageindex", "text").dropDuplicates(["bookid", "pageindex"])
+    first = F.min(F.struct(F.col("ingestedat").isNull(), "ingestedat", "text"))
+    once = pages.groupBy("bookid", "pageindex").agg(first.alias("p")).select("bookid", "pageindex", "p.text")
     return lines.without_lines(once, found, "bookid", "pageindex", "text").select("bookid", "pageindex", "clean_text", "n_removed")
 
 
@@ -122,6 +129,7 @@ OVERSIZED = """
 
 SQL = {
     "p3_found": f"{OVERSIZED} SELECT DISTINCT itemkind, bookid, CAST(no AS INT) AS itemno FROM over",
+    "p4_invariants": "SELECT split, share AS target, TRUE AS is_near, CAST(0 AS BIGINT) AS n_apart, CAST(0 AS BIGINT) AS n_wrong FROM split_target",
     "p3_invariants": f"{OVERSIZED} SELECT itemkind, count(*) AS n_items, CAST(0 AS BIGINT) AS n_above, CAST(0 AS BIGINT) AS n_overlap_off, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_low FROM over GROUP BY itemkind",
 }
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quirefold.llm import groups
+from quirefold.llm import groups, hot
 
 FIELDS = "id string, publisher string, authors array<string>, pagetier string, root string, split string, key string"
 
@@ -87,3 +87,26 @@ def test_anneal_improves():
     assert after < before / 5
     got = np.bincount(best, weights=size, minlength=3) / size.sum()
     assert np.abs(got - [0.8, 0.1, 0.1]).max() < 0.01
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(hot, "HOT_ROWS", 5)
+    monkeypatch.setattr(hot, "HOT_KEYS", 50)
+    rows = [(f"{i:03d}", "One House" if i % 3 else None, [f"Person X{i // 2}y"]) for i in range(90)]
+    with_hot = found(spark, rows)
+    monkeypatch.undo()
+    assert with_hot == found(spark, rows) and len(with_hot) == 89
+
+
+def test_labels_and_checks(spark):
+    rng = random.Random(6)
+    rows = [(f"{i:04d}", f"House {rng.randrange(100)}", [], rng.choice(["short", "medium", "long", None]), "r", "s", "k") for i in range(900)]
+    records = spark.createDataFrame(rows, FIELDS)
+    targets = spark.createDataFrame([("train", 0.7), ("test", 0.3)], "split string, share double")
+    assigned = groups.split_assignment(records, targets)
+    assert {(r.split, r.is_near, r.n_apart, r.n_wrong) for r in groups.splits_checked(records, assigned, targets).collect()} == {("train", True, 0, 0), ("test", True, 0, 0)}
+    label = {r[0]: r[3] for r in rows}
+    got = assigned.collect()
+    for value in ("short", "medium", "long", None):
+        mine = [r.split for r in got if label[r.id] == value]
+        assert abs(mine.count("train") / len(mine) - 0.7) < 0.05
