@@ -2,8 +2,10 @@
 
 A text is cut at blank lines into blocks. Blocks without sentence structure are one unit. In the others every place
 after a sentence sign (and after a space in Thai) is a candidate boundary, and a semi-Markov dynamic programme selects
-the whole spans: a span's score sums how it opens, how it closes, its length and whether its quotations are balanced,
-and the best sequence of spans that tiles the block is taken. Offsets count code points of the stored text; a unit
+the whole spans: a span's score sums the cue it opens with, the cue it closes with, what the two cues at a boundary say together, its
+length and whether its quotations are balanced, and the best sequence of spans that tiles the block is taken. No cue decides
+alone; the weights are in ``sentence_weights``, fitted on gold sentence ends. A place is left out beforehand only if its cues lose
+more than length and quotations can give back, so that no best sequence has it. Offsets count code points of the stored text; a unit
 runs from its first to its last visible character.
 """
 
@@ -11,15 +13,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm import sentence_weights
 from quirefold.llm.chars import CYRILLIC_LOOK_ALIKES, GREEK_LOOK_ALIKES
 
-
 # Abbreviations, without their last full stop, by what may follow them.
 BEFORE_NAMES = "mr mrs ms messrs dr prof st ste mme mlle mm sr sra srta dra d. dña don fr rev hon gen col maj capt lt sgt gov pres sen rep hr fr. frl hl проф д-р г-н г-жа акад им ул κ κα δρ डॉ श्री प्रो د أ mt ft"
 BEFORE_NUMBERS = "fig figs vol vols no nos nr nrn p pp pg pgs ch chap sec sect art eq eqs ed eds tab pl ca c circa approx b d fl r s bd abb anm núm núms pág págs cap t lám рис стр с гл табл т № см ст п σελ τόμ αρ εικ βλ ص ج ف जि पृ av apr janv feb mar jun jul aug sep sept oct nov dec jan"
@@ -54,6 +57,8 @@ WIDE = "。！？｡"
 CLOSING = "”’\"'»›)]}」』）】》〉］"
 TERM = {german: re.compile(rf"[{SIGNS};;]+(?:\s?[»›]|[{re.escape(CLOSING)}{'“‘' if german else ''}])*") for german in (False, True)}
 OPENING_QUOTES, CLOSING_QUOTES = "“„«「『‘", "”»」』"
+OPENS = "“„«‘¿¡「『("
+COUNTED = re.compile(r"[ivxlcdm]+\b|[A-Z]-?\d", re.I)
 INITIAL = re.compile(r"\w\.(?!\w)")
 SPACES = re.compile(r"\s+")
 ODD_SPACE = re.compile(r"[^\S\n ]")
@@ -106,97 +111,98 @@ def structureless(block: str) -> bool:
     return bool(not ends and lines == 1 and len(words) <= 16 and not inner)
 
 
-def _closing(text: str, at: int, end: int, block_start: bool) -> float:
-    """How well a sentence closes at the sign text[at:end] (closers included); negative: rather not."""
-    nxt = end
-    n = len(text)
+def _cues(text: str, at: int, end: int) -> tuple[str, str]:
+    """How a span closes at the sign text[at:end] (closers included), and how one opens behind it."""
+    nxt, n = end, len(text)
     while nxt < n and text[nxt].isspace():
         nxt += 1
     if nxt >= n:
-        return 9.0
-    gap = nxt > end
-    c = text[nxt]
-    sign = text[at]
-    run = text[at:end]
+        return "edge", "edge"
+    c, sign, run = text[nxt], text[at], text[at:end]
     quoted = any(q in "”’\"'»“‘」』" for q in run)
     head = run.rstrip(CLOSING + "“‘ ")
-    if sign in ";;":
-        before = next((x for x in reversed(text[max(0, at - 3) : at]) if x.isalpha()), "")
-        if sign == ";" and not "Ͱ" <= before <= "Ͽ" and not "ἀ" <= before <= "῿":
-            return -9.0
-    if c in ",;:.!?…؟،؛、，；：)]}’”»」』）" and c != "’":
-        return -9.0
     after = text[nxt : nxt + 60].lstrip("“”„\"'«‘’([{¿¡—–- \n「『（") if not c.isalnum() else text[nxt : nxt + 40]
     first = after[:1]
-    dash = c in "—–-"
+    close = _closing_cue(text, at, end, nxt, head, quoted, first, after)
+    return close, _opening_cue(text, nxt, c, first, after, quoted, close)
+
+
+def _opening_cue(text: str, nxt: int, c: str, first: str, after: str, quoted: bool, close: str) -> str:
+    """What stands where a span would open."""
+    if c in ",;:.!?…؟،؛、，；：)]}’”»」』）" and c != "’":
+        return "sign"
     if first and _lower(first):
-        return -9.0
-    wide = any(s in WIDE for s in head)
+        return "small"
     if quoted:
         rest = text[nxt : nxt + 160]
         key = "ja" if rest[:1] == "と" else "zh" if CJK.match(rest) else "hi" if "ऀ" <= c <= "ॿ" else "ar" if "؀" <= c <= "ۿ" else "th" if "฀" <= c <= "๿" else "am" if "ሀ" <= c <= "፿" else ""
         if key and SPEECH[key].match(rest):
-            return -9.0
+            return "speaker"
         if not key and _named.match(rest):
-            return -5.0
-    if set(head) <= {".", "…", "‥"} and head != "." and not quoted and first and first.upper() == first.lower() and not first.isdigit() and c not in "“«「『":
-        return -9.0  # a pause, in a script without capitals
-    if wide or any(s in "።፧।॥" for s in head):
-        return 6.0
-    if not gap:
+            return "named"
+    if close == "number" and _months.match(after):
+        return "month"
+    if first.isdigit() or (close.startswith("counting") and COUNTED.match(after)):
+        return "digit"
+    if _opener.match(after):
+        return "opener"
+    return "capital" if c.isupper() else "uncased" if first and first.upper() == first.lower() and c not in "“«「『" else "other"
+
+
+def _closing_cue(text: str, at: int, end: int, nxt: int, head: str, quoted: bool, first: str, after: str) -> str:
+    """What stands where a span would close: the kind of sign, and of the word before a single full stop."""
+    sign, c, n = text[at], text[nxt], len(text)
+    if sign == ";":
+        before = next((x for x in reversed(text[max(0, at - 3) : at]) if x.isalpha()), "")
+        if not "Ͱ" <= before <= "Ͽ" and not "ἀ" <= before <= "῿":
+            return "semicolon"
+    if any(s in WIDE or s in "።፧።॥।" for s in head):
+        return "wide"
+    pause = set(head) <= {".", "…", "‥"} and head != "."
+    if nxt == end:
         # Two sentences may lack a gap: a small letter, the sign, a capital; no address around it.
         back = text[max(0, at - 2) : at]
         token = text[max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1 : n if text.find(" ", at) < 0 else text.find(" ", at)]
-        ok = len(back) == 2 and back.isalpha() and (_lower(back[1]) or not back[1].upper() != back[1])
-        opens = c in "“„«‘¿¡「『(" or c.isalpha()
-        if not (ok and opens) or "/" in token or "@" in token or token.lower().startswith("www") or (token.count(".") > 1 and "..." not in token and not quoted):
-            return -9.0
-        if head != "." and set(head) == {"."} and not c.isupper():
-            return -9.0
-        return 3.0 if (c.isupper() or c in "“„«‘¿¡「『(" or not first.upper() != first.lower()) else -9.0
+        word = len(back) == 2 and back.isalpha() and (_lower(back[1]) or back[1].upper() == back[1])
+        opens = c in OPENS or c.isalpha()
+        address = "/" in token or "@" in token or token.lower().startswith("www") or (token.count(".") > 1 and "..." not in token and not quoted)
+        large = c.isupper() or c in OPENS or first.upper() == first.lower()
+        if not (word and opens and not address and large) or (head != "." and set(head) == {"."} and not c.isupper()):
+            return "inside"
+        return "gapless pause" if pause and not quoted else "gapless"
     if head != ".":
-        return 6.0 if not (dash and first and _lower(first)) else -9.0
-    # A single full stop.
+        return "pause" if pause and not quoted else "mark"
     word = WORD_BEFORE.search(text[max(0, at - 24) : at])[0]
     if quoted or not word:
-        return 6.0 if quoted or text[at - 1 : at] in CLOSING else -2.0
+        return "quoted" if quoted or text[at - 1 : at] in CLOSING else "bare"
     if not word.isascii() and len(word) < 12:
         word = _folded(word)
     low = word.lower()
     before = text[max(0, at - len(word) - 14) : at - len(word)].rstrip()
     if word.isdigit():
-        if block_start and not before:
-            return -9.0
-        if _months.match(after) and len(word) <= 2:
-            return -9.0
-        return 5.0
-    digit = first.isdigit()
-    joined = low
-    if len(low) == 1 and before.endswith("."):
-        joined = WORD_BEFORE.search(before)[0].lower() + low
+        return "number" if len(word) <= 2 else "large number"
+    joined = WORD_BEFORE.search(before)[0].lower() + low if len(low) == 1 and before.endswith(".") else low
     initials = joined != low and word.isupper() and not re.search(r"\d\s*$", before[: -len(joined) + len(low)])
     if (joined in _may_end and not initials) or (low in _may_end and len(low) > 1):
-        return -9.0 if digit else 5.0
+        return "may end"
     if len(word) == 1 and word.isalpha():
         if word.isupper() or word == word.upper() != word.lower():
-            if digit:
-                return -9.0
-            last = before[-1:]
             tail = WORD_BEFORE.search(before)[0]
-            if tail and _lower(tail[0]) and last.isalpha() and not dash and not INITIAL.match(after):
-                return 5.0 if tail.lower() in LETTERED or _opener.match(after) else -4.0  # plan K. The
-            return -6.0
-        return -9.0 if low in SINGLE_INSIDE or digit else 5.0
+            if tail and _lower(tail[0]) and before[-1:].isalpha() and c not in "—–-" and not INITIAL.match(after):
+                return "lettered" if tail.lower() in LETTERED else "late initial"
+            return "initial"
+        return "abbreviation" if low in SINGLE_INSIDE else "single"
     if low in _names or low in _inside or joined in _inside:
-        return -9.0
+        return "abbreviation"
     if low in _numbers:
-        return -9.0 if digit or not first else (-9.0 if re.match(r"[ivxlcdm]+\b|[A-Z]-?\d", after, re.I) else 4.0 if c.isupper() and len(low) > 2 else -6.0)
+        return "counting" if len(low) > 2 else "counting short"
     if "." in word and word.replace(".", "").isalpha() and max(map(len, word.split("."))) <= 2:
-        return -4.0 if not _opener.match(after) else 3.0
-    return 6.0
+        return "dotted"
+    return "stop"
 
 
-def _thai_gaps(text: str) -> list[tuple[int, int, float]]:
+def _thai_gaps(text: str) -> list[tuple[int, str, str]]:
+    """Spaces between Thai words, none beside a number, with their cues."""
     found = []
     for m in re.finditer(r"[^\S\n]+", text):
         a, b = m.span()
@@ -207,10 +213,9 @@ def _thai_gaps(text: str) -> list[tuple[int, int, float]]:
             continue
         thai_left = "฀" <= left <= "๿" or (left in CLOSING + "“" and THAI.search(text[max(0, a - 6) : a]))
         thai_right = "฀" <= right <= "๿" or (right in "“‘«(\"" and THAI.match(text[b + 1 : b + 2]))
-        if thai_left and thai_right and text[a - 1] not in "“‘«(" and right not in "ๆฯ”’»)":
-            if left in CLOSING and SPEECH["th"].match(text[b : b + 90].split(" ")[0]):
-                continue
-            found.append((a, b, 5.0))
+        if thai_left and thai_right and left not in "“‘«(" and right not in "ๆฯ”’»)":
+            speaks = left in CLOSING and SPEECH["th"].match(text[b : b + 90].split(" ")[0])
+            found.append((a, "space", "speaker" if speaks else "uncased"))
     return found
 
 
@@ -231,11 +236,11 @@ def _balance(text: str, places: list[int]) -> list[int]:
     return out
 
 
-def _spans(text: str) -> list[tuple[int, int]]:
-    """The spans of one block with sentence structure, as places in it."""
+def candidates(text: str) -> list[tuple[int, str, str]]:
+    """(place, closing cue, opening cue) of every place in a block where a span may end, but its end."""
     label = LABEL.match(text) or NUMBERED.match(text)
-    shut = label.end() if label else 0
-    candidates: list[tuple[int, float]] = []
+    shut, last = label.end() if label else 0, len(text.rstrip())
+    found = []
     german = "„" in text or "‚" in text
     quotes, seen = 0, 0  # straight quotes so far
     for m in TERM[german].finditer(text):
@@ -245,49 +250,83 @@ def _spans(text: str) -> list[tuple[int, int]]:
             quotes, seen = quotes + text.count('"', seen, q), q
             if quotes % 2 == 0 and text[q + 1 : q + 2].isalnum():
                 end = q
-        if end <= shut:
-            continue
-        score = _closing(text, at, end, False)
-        if score > -8:
-            candidates.append((end, score))
+        if shut < end < last:
+            found.append((end, *_cues(text, at, end)))
     if THAI.search(text):
-        candidates += [(a, s) for a, _, s in _thai_gaps(text)]
-        candidates.sort()
-    places = [0] + [p for p, _ in candidates if 0 < p < len(text.rstrip())] + [len(text)]
-    if len(places) == 2:
+        found = sorted(found + [x for x in _thai_gaps(text) if x[0] < last])
+    return found
+
+
+class Scores:
+    """The weights as the programme reads them."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+        self.lengths = [weights[f"length {b}"] for b in sentence_weights.LENGTHS]
+        self.balance = [weights[f"quotes {b}"] for b in sentence_weights.QUOTES]
+        self.known: dict[tuple[str, str], tuple[float, float]] = {}
+        self.most = max(self.lengths) + max(self.balance)  # what length and quotations give a span at most
+        self.slack = 2 * self.most - min(self.lengths) - min(self.balance)
+
+    def at(self, close: str, open_: str) -> tuple[float, float]:
+        """What a boundary gives the span that closes there and the one that opens."""
+        if (close, open_) not in self.known:
+            w = self.weights
+            self.known[close, open_] = w.get(f"close {close}", 0.0) + w.get(f"close {close} open {open_}", 0.0) + w["span"], w.get(f"open {open_}", 0.0)
+        return self.known[close, open_]
+
+
+def balance_of(before: int, behind: int) -> int:
+    """Number in QUOTES: none open at either end of a span, opened in it, closed in it, open at both ends."""
+    return (before != 0) * 2 + (behind != 0) if before != behind or not before else 3
+
+
+def length_of(size: int) -> int:
+    return bisect_right(sentence_weights.BOUNDS, size)
+
+
+def best_spans(text: str, places: list[tuple[int, str, str]], scores: Scores, extra: list[float] | None = None) -> list[tuple[int, int]]:
+    """The spans that tile a block with the best sum of scores; ``places`` are its candidates, ``extra`` what else each of them is worth."""
+    at = [(p, *scores.at(close, open_)) for p, close, open_ in places]
+    if extra:
+        at = [(p, c + x, o) for (p, c, o), x in zip(at, extra)]
+    at = [x for x in at if x[1] + x[2] + scores.slack >= 0]
+    if not at:
         return [(0, len(text))]
-    close = [0.0] + [s for p, s in candidates if 0 < p < len(text.rstrip())] + [6.0]
-    depth = _balance(text, places)
-    opening = [0.0] + [0.5 if _opener.match(text, SPACES.match(text, p).end() if SPACES.match(text, p) else p) else 0.0 for p in places[1:-1]] + [0.0]
+    ends = [0, *(x[0] for x in at), len(text)]
+    close = [0.0, *(x[1] for x in at), 0.0]
+    opening = [0.0, *(x[2] for x in at), 0.0]
+    depth = _balance(text, ends)
     content = [0]
-    for a, b in zip(places, places[1:]):
+    for a, b in zip(ends, ends[1:]):
         content.append(content[-1] + (1 if BREAKS_LEFT.search(text, a, b) else 0))
-    best, back = [0.0] + [float("-inf")] * (len(places) - 1), [0] * len(places)
-    most = [0.0]  # the best start up to each place: what a span scores at most
-    for j in range(1, len(places)):
+    best, back = [0.0] + [float("-inf")] * (len(ends) - 1), [0] * len(ends)
+    most = [0.0]  # the best start up to each place
+    for j in range(1, len(ends)):
         for i in range(j - 1, -1, -1):
-            if most[i] + close[j] - 2.5 < best[j]:
+            if most[i] + close[j] + scores.most < best[j]:
                 break  # nothing further back can beat what is found
-            size = places[j] - places[i]
-            score = best[i] + opening[i] + close[j] - 2.5
+            score = best[i] + opening[i] + close[j] + scores.lengths[length_of(ends[j] - ends[i])] + scores.balance[balance_of(depth[i], depth[j])]
             if content[j] == content[i]:
                 score -= 20.0  # nothing to read in it
-            elif size < 4:
-                score -= 0.5
-            if depth[i] != depth[j] or depth[i]:
-                score -= 0.3
-            if size > 1500:
-                score -= 0.001 * (size - 1500)
             if score >= best[j]:
                 best[j], back[j] = score, i
         most.append(max(most[-1], best[j] + opening[j]))
-    out, j = [], len(places) - 1
+    out, j = [], len(ends) - 1
     while j > 0:
-        out.append((places[back[j]], places[j]))
+        out.append((ends[back[j]], ends[j]))
         j = back[j]
     return out[::-1]
 
 
+SCORES = Scores(sentence_weights.WEIGHTS)
+
+
+def _spans(text: str) -> list[tuple[int, int]]:
+    """The spans of one block with sentence structure, as places in it."""
+    return best_spans(text, candidates(text), SCORES)
+
+
 def sentence_units(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of a text, in code points; none for a null, empty or invisible text."""
     if not text:

@@ -2,6 +2,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quirefold.llm import fit_sentences, sentences
+from quirefold.llm.sentence_weights import GUESS
 from quirefold.llm.sentences import page_and_unit_sentences, sentence_units, structureless, with_sentences
 
 CASES = [
@@ -75,3 +77,41 @@ def test_tables(spark):
     assert page_and_unit_sentences(pages.limit(0), units.limit(0)).count() == 0
     clash = spark.createDataFrame([(7, "He left. She ran.", 3)], "sentno long, text string, sentstart int")
     assert with_sentences(clash, ["sentno"], "text").count() == 2
+
+
+def tilings(ends):
+    if len(ends) == 1:
+        yield []
+        return
+    for j in range(1, len(ends)):
+        for rest in tilings(ends[j:]):
+            yield [(ends[0], ends[j]), *rest]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["Dr. ", "A. ", "he said. ", "“Go! ", "Now?” ", "etc. ", "The end. ", "4. ", "May ", "x.Y "]), min_size=1, max_size=8))
+def test_programme_against_all_tilings(parts):
+    text = "".join(parts).strip()
+    places = sentences.candidates(text)
+    scores = sentences.SCORES
+    at = {p: scores.at(close, open_) for p, close, open_ in places}
+
+    def worth(spans):
+        depth = dict(zip([0, *(b for _, b in spans)], sentences._balance(text, [0, *(b for _, b in spans)])))
+        total = 0.0
+        for a, b in spans:
+            total += at.get(b, (0.0, 0.0))[0] + at.get(a, (0.0, 0.0))[1] + scores.lengths[sentences.length_of(b - a)] + scores.balance[sentences.balance_of(depth[a], depth[b])]
+            total -= 20.0 * (not sentences.BREAKS_LEFT.search(text, a, b))
+        return total
+
+    best = max(worth(t) for t in tilings([0, *(p for p, *_ in places), len(text)]))
+    assert abs(worth(sentences.best_spans(text, places, scores)) - best) < 1e-9
+
+
+def test_weights_are_learned():
+    text = "小村庄的人们等了很久……然后画下了它。他来了。"
+    places = sentences.candidates(text)
+    gold = [(0, 19), (19, 23)]
+    assert text[:19].endswith("它。") and len(text) == 23
+    learned = fit_sentences.learn([(text, places, gold)] * 20, GUESS)
+    assert fit_sentences.wrong([(text, places, gold)], GUESS)[0] == 1 and fit_sentences.wrong([(text, places, gold)], learned)[0] == 0
