@@ -4,13 +4,17 @@ All lines of an Arrow batch are measured at once: the text is one numpy array of
 table gathers, sums over lines are differences of running sums, and words are compared by hash. A hidden Markov model
 over the line statistics with the states prose, list, table and junk then labels every line (Viterbi, run for all
 documents of the batch side by side), and the labels' shares of a document's visible characters say what it is made of.
+
+The model's weights are a guess (FEATURES, STAY, START) that labelled documents correct: expectation maximisation on at most LABELLED of
+them, in which the lines of a document are held to its label. The guess counts like GUESS lines, so a few labels change little.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +24,11 @@ from pyspark.sql import functions as F
 from quirefold.llm.chars import LIMIT, bounded, code_points
 
 STATES = ("prose", "list", "table", "junk")
-STAY = 0.86  # probability that the next line has the same label
+STAY = 0.86  # probability that the next line has the same label, as a guess
 START = (0.55, 0.2, 0.1, 0.15)
+LABELLED, LABELLED_CHARS = 2000, 100_000  # labelled documents that the weights are fitted on, and how long each may be
+GUESS = 300.0  # lines that the guess counts for
+ROUNDS, STEPS = 6, 12  # of expectation maximisation, and of ascent in each
 
 # Common words by language.
 COMMON = """
@@ -215,8 +222,50 @@ def _distinct(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(g, weights=new, minlength=n)
 
 
-def emissions(x: dict[str, np.ndarray]) -> np.ndarray:
-    """Log scores of the four states for every line."""
+#: What a line's statistics say for prose, list, table and junk, as a guess.
+FEATURES = {
+    "any": (-1.5, -0.6, -1.6, -1.4),
+    "common": (7.0, 0, 0, 0),
+    "five_words": (1.2, 0, 0, 0),
+    "ends": (0.8, 0, 0, 0),
+    "ends_any": (0, 0, -1.0, 0),
+    "many_words": (0.8, 0, 0, 0),
+    "commas": (-9.0, 0, 0, 0),
+    "comma_list": (0, 2.2, 0, 0),
+    "some_symbols": (-12.0, 0, 0, 0),
+    "symbols": (0, 0, 0, 9.0),
+    "many_symbols": (0, -4.0, 0, 0),
+    "digits": (-6.0, 0, 0, 0),
+    "structure": (-2.0, 0, 0, 0),
+    "structured": (0, 0, 2.2, 0),
+    "bulleted": (-2.5, 2.5, 0, 0),
+    "enumerated": (0, 2.5, 0, 0),
+    "short_enumerated": (-2.5, 0, 0, 0),
+    "cited": (-3.0, 3.0, 0, 0),
+    "index": (-3.0, 3.0, 0, 0),
+    "few_letters": (-2.0, 0, 0, 0),
+    "fewer_letters": (0, 0, 0, 1.5),
+    "other_script": (1.5, 0, 0, 0),
+    "stuck": (-8.0, 0, 0, 10.0),
+    "nothing_common": (-3.5, 0, 0, 0),
+    "nothing_listed": (0, 0, 0, 2.2),
+    "again": (-6.0, 0, 0, 3.0),
+    "little_variety": (-6.0, 0, 0, 3.5),
+    "short": (0, 1.2, 0, 0),
+    "leaders": (0, 2.5, 0, 0),
+    "pipes": (0, 1.0, 0, 0),
+    "numbers": (0, 0, 6.0, 0),
+    "tabs": (0, 0, 1.2, 0),
+    "gaps": (0, 0, 1.5, 0),
+    "long_word": (0, 0, 0, 3.0),
+    "odd": (0, 0, 0, 6.0),
+    "mixed": (0, 0, 0, 3.0),
+    "common_once": (0, 0, 0, -2.0),
+}
+
+
+def features(x: dict[str, np.ndarray]) -> np.ndarray:
+    """A row of FEATURES for every line, weighted by its length: what a line says grows with it, up to a point; blank lines say nothing."""
     visible, words = np.maximum(x["visible"], 1), np.maximum(x["words"], 1)
     wide = x["wide"] / np.maximum(x["letters"], 1) > 0.5
     letters, digits, symbols = x["letters"] / visible, x["digits"] / visible, x["symbols"] / visible
@@ -228,63 +277,190 @@ def emissions(x: dict[str, np.ndarray]) -> np.ndarray:
     numbers = x["numbers"] / words
     long_ = amount >= 6
     variety = np.where(long_ & ~wide, x["distinct_pairs"] / words, 1.0)
-    capital = x["upper"] / np.maximum(x["letters"], 1)
     structure = (x["tabs"] > 0) * 1.0 + (x["gaps"] > 0) + (x["leaders"] > 1)
-    index = x["ends_digit"] & (~long_ | (amount <= 14) & (x["commas"] == 0) & (x["stops"] == 0)) | (digits > 0.12) & (x["commas"] >= 2) & ~(x["ends"] & (common > 0.2))
-    cited = (x["parens"] >= 1) & (numbers >= 0.15) & (digits > 0.06) & (common < 0.24)
-    prose = -1.5 + 7 * np.minimum(common, 0.35) + 1.2 * (amount >= 5) + 0.8 * x["ends"] * (amount >= 3) + 0.8 * (amount > 25) - 9 * np.maximum(commas - 0.3, 0) - 12 * np.maximum(symbols - 0.03, 0) - 6 * np.maximum(digits - 0.1, 0)
-    prose = prose - 2.0 * structure - 2.5 * x["bulleted"] - 2.5 * x["enumerated"] * (amount < 9) - 3.0 * cited - 3.0 * index - 2.0 * (letters < 0.6)
     foreign = x["latin"] < 0.5 * x["letters"]
     nothing = (common == 0) & (amount >= 7) & ~wide & ~foreign
-    stuck = np.minimum(x["stuck"] / np.maximum(amount, 1), 0.5) * (x["stuck"] >= 2)
-    prose = prose + 1.5 * (foreign & ~wide & (common < 0.2) & (symbols < 0.02) & (digits < 0.1)) - 8.0 * stuck - 3.5 * nothing - 6.0 * again - 6.0 * (variety < 0.5)
-    list_ = -0.6 + 2.5 * x["bulleted"] + 2.5 * x["enumerated"] + 1.2 * (~long_ & ~x["ends"]) + 3.0 * index + 3.0 * cited + 2.2 * ((commas > 0.45) & long_) + 2.5 * (x["leaders"] > 1) + 1.0 * (x["pipes"] > 0) - 4.0 * np.maximum(symbols - 0.1, 0)
-    table = -1.6 + 2.2 * (structure > 0) + 6 * np.minimum(numbers, 0.5) * (digits > 0.15) + 1.2 * (x["tabs"] >= 2) + 1.5 * (x["gaps"] >= 2) - 1.0 * x["ends"]
-    junk = -1.4 + 9 * np.minimum(np.maximum(symbols - 0.08, 0), 0.4) + 3.0 * (x["longest"] > 34) * ~wide + 2.2 * (nothing & (commas < 0.4)) + 10.0 * stuck + 3.5 * (variety < 0.5) + 3.0 * again + 1.5 * (letters < 0.5)
-    junk = junk + 6 * np.minimum(x["odd"] / visible, 0.5) + 3.0 * (x["mixed"] / words > 0.3) - 2.0 * ((common > 0.2) & ~again)
-    out = np.stack([prose, list_, table, junk], 1)
-    # What a line says grows with its length, up to a point.
-    weight = np.clip(x["visible"] / 30.0, 0.35, 2.5)[:, None]
-    out = out * weight
-    out[x["visible"] == 0] = 0.0
-    return out
-
-
-def viterbi(scores: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
-    """The best state of every line; documents are stacked in ``scores`` with ``n_lines`` rows each."""
-    stay, move = np.log(STAY), np.log((1 - STAY) / 3)
-    step = np.full((4, 4), move)
-    np.fill_diagonal(step, stay)
-    offset = np.concatenate([[0], np.cumsum(n_lines)[:-1]])
+    f = {
+        "any": np.ones(len(visible)),
+        "common": np.minimum(common, 0.35),
+        "five_words": amount >= 5,
+        "ends": x["ends"] & (amount >= 3),
+        "ends_any": x["ends"],
+        "many_words": amount > 25,
+        "commas": np.maximum(commas - 0.3, 0),
+        "comma_list": (commas > 0.45) & long_,
+        "some_symbols": np.maximum(symbols - 0.03, 0),
+        "symbols": np.minimum(np.maximum(symbols - 0.08, 0), 0.4),
+        "many_symbols": np.maximum(symbols - 0.1, 0),
+        "digits": np.maximum(digits - 0.1, 0),
+        "structure": structure,
+        "structured": structure > 0,
+        "bulleted": x["bulleted"],
+        "enumerated": x["enumerated"],
+        "short_enumerated": x["enumerated"] & (amount < 9),
+        "cited": (x["parens"] >= 1) & (numbers >= 0.15) & (digits > 0.06) & (common < 0.24),
+        "index": x["ends_digit"] & (~long_ | (amount <= 14) & (x["commas"] == 0) & (x["stops"] == 0)) | (digits > 0.12) & (x["commas"] >= 2) & ~(x["ends"] & (common > 0.2)),
+        "few_letters": letters < 0.6,
+        "fewer_letters": letters < 0.5,
+        "other_script": foreign & ~wide & (common < 0.2) & (symbols < 0.02) & (digits < 0.1),
+        "stuck": np.minimum(x["stuck"] / np.maximum(amount, 1), 0.5) * (x["stuck"] >= 2),
+        "nothing_common": nothing,
+        "nothing_listed": nothing & (commas < 0.4),
+        "again": again,
+        "little_variety": variety < 0.5,
+        "short": ~long_ & ~x["ends"],
+        "leaders": x["leaders"] > 1,
+        "pipes": x["pipes"] > 0,
+        "numbers": np.minimum(numbers, 0.5) * (digits > 0.15),
+        "tabs": x["tabs"] >= 2,
+        "gaps": x["gaps"] >= 2,
+        "long_word": (x["longest"] > 34) & ~wide,
+        "odd": np.minimum(x["odd"] / visible, 0.5),
+        "mixed": x["mixed"] / words > 0.3,
+        "common_once": (common > 0.2) & ~again,
+    }
+    weight = np.clip(x["visible"] / 30.0, 0.35, 2.5) * (x["visible"] > 0)
+    return np.stack([f[name] * weight for name in FEATURES], 1)
+
+
+class Model(NamedTuple):
+    """Weights of the features for each state, and log probabilities of the steps from state to state and of the first state."""
+
+    weights: np.ndarray
+    step: np.ndarray
+    start: np.ndarray
+
+
+def guess() -> Model:
+    step = np.full((4, 4), (1 - STAY) / 3)
+    np.fill_diagonal(step, STAY)
+    return Model(np.array(list(FEATURES.values())).T, np.log(step), np.log(np.array(START)))
+
+
+def _rows_at(n_lines: np.ndarray) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
+    """The documents by length, longest first, and the rows of their lines number ``t``."""
+    offset = np.concatenate([[0], np.cumsum(n_lines)[:-1]]).astype(np.int64)
     by = np.argsort(-n_lines, kind="stable")
     lengths, offset = n_lines[by], offset[by]
+    return lengths, lambda t: offset[: int(np.searchsorted(-lengths, -t, side="left"))] + t
+
+
+def marginals(scores: np.ndarray, n_lines: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The probability of each state for every line, the expected number of steps from state to state, and of first states."""
+    lengths, rows_at = _rows_at(n_lines)
+    scores = scores - scores.max(1, keepdims=True)
+    likely, step = np.exp(scores), np.exp(model.step)
+    ahead, behind = np.zeros_like(scores), np.ones_like(scores)
+    first = rows_at(0)
+    steps = np.zeros((4, 4))
+    for t in range(int(lengths.max(initial=0))):
+        at = rows_at(t)
+        now = likely[at] * (np.exp(model.start) if t == 0 else ahead[at - 1] @ step)
+        ahead[at] = now / now.sum(1, keepdims=True)
+    for t in range(int(lengths.max(initial=0)) - 1, 0, -1):
+        at = rows_at(t)
+        back = (likely[at] * behind[at]) @ step.T
+        behind[at - 1] = back / back.sum(1, keepdims=True)
+        both = ahead[at - 1][:, :, None] * step[None] * (likely[at] * behind[at])[:, None, :]
+        steps += (both / both.sum((1, 2), keepdims=True)).sum(0)
+    found = ahead * behind
+    found /= np.maximum(found.sum(1, keepdims=True), 1e-300)
+    return found, steps, found[first].sum(0)
+
+
+def _prose_share(state_prose: np.ndarray, visible: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    total = np.bincount(doc, weights=visible, minlength=n)
+    return np.bincount(doc, weights=visible * state_prose, minlength=n) / np.maximum(total, 1)
+
+
+def fit(x: dict[str, np.ndarray], doc: np.ndarray, n_lines: np.ndarray, is_prose: np.ndarray, model: Model | None = None) -> Model:
+    """The model after expectation maximisation on documents that are known to be prose or not.
+
+    A document whose lines' probabilities contradict its label gets the least bonus or malus for prose that makes them agree
+    (found by halving), so its label is spread over its lines. Emissions are log-linear: a step of bounded ascent towards the
+    expected states, held to the guess by GUESS; so are the steps and first states, as counts.
+    """
+    model = first = model or guess()
+    phi, n = features(x), len(n_lines)
+    kept = x["visible"] > 0
+    bound = 0.5 * phi.T @ phi + GUESS * np.eye(phi.shape[1])
+    for _ in range(ROUNDS):
+        scores = phi @ model.weights.T
+        found, steps, starts = marginals(scores, n_lines, model)
+        wrong = (_prose_share(found[:, 0], x["visible"], doc, n) >= 0.5) != is_prose
+        if wrong.any():
+            rows = wrong[doc]
+            mine, lines = np.cumsum(wrong)[doc[rows]] - 1, n_lines[wrong]
+            sign = np.where(is_prose[wrong], 1.0, -1.0)
+            low, high = np.zeros(len(lines)), np.full(len(lines), 16.0)
+            for _ in range(8):
+                middle = (low + high) / 2
+                pushed = scores[rows].copy()
+                pushed[:, 0] += (sign * middle)[mine]
+                share = _prose_share(marginals(pushed, lines, model)[0][:, 0], x["visible"][rows], mine, len(lines))
+                agrees = (share >= 0.5) == is_prose[wrong]
+                low, high = np.where(agrees, low, middle), np.where(agrees, middle, high)
+            scores[rows, 0] += (sign * high)[mine]
+            found, steps, starts = marginals(scores, n_lines, model)
+        share = np.log(found[kept].mean(0) + 1e-6) if kept.any() else np.zeros(4)
+        weights = model.weights
+        for _ in range(STEPS):
+            logits = phi @ weights.T + share
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            up = ((found - p) * kept[:, None]).T @ phi - GUESS * (weights - first.weights)
+            weights = weights + np.linalg.solve(bound, up.T).T
+        steps, starts = steps + GUESS * np.exp(first.step) / 4, starts + GUESS * np.exp(first.start) / 10
+        model = Model(weights, np.log(steps / steps.sum(1, keepdims=True)), np.log(starts / starts.sum()))
+    return model
+
+
+def fitted(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text") -> Model:
+    """The model fitted on labelled rows (key, label: ``prose`` or ``other``); the guess without any.
+
+    At most LABELLED documents of at most LABELLED_CHARS characters, picked by hash of the key; only they come to the driver.
+    """
+    if labels is None:
+        return guess()
+    sample = labels.where(F.col("label").isin("prose", "other")).select(F.col(key).alias("_k"), (F.col("label") == "prose").alias("_prose")).where(F.col("_k").isNotNull()).distinct().orderBy(F.xxhash64("_k"), "_prose").limit(LABELLED)
+    own = docs.where((F.length(text) > 0) & (F.length(text) <= LABELLED_CHARS)).join(F.broadcast(sample), F.col(key) == F.col("_k")).select("_k", "_prose", F.col(text).alias("_text")).orderBy("_k", "_prose", "_text").limit(2 * LABELLED).toArrow()
+    if not own.num_rows:
+        return guess()
+    x, doc, n_lines = measure(own.column("_text").combine_chunks())
+    return fit(x, doc, n_lines, own.column("_prose").combine_chunks().to_numpy(zero_copy_only=False).astype(bool))
+
+
+def viterbi(scores: np.ndarray, n_lines: np.ndarray, model: Model | None = None) -> np.ndarray:
+    """The best state of every line; documents are stacked in ``scores`` with ``n_lines`` rows each."""
+    model = model or guess()
+    lengths, rows_at = _rows_at(n_lines)
     back = np.zeros((len(scores), 4), np.int8)
     state = np.zeros(len(scores), np.int8)
     if not len(scores):
         return state
-    best = np.log(np.array(START))[None, :] + scores[np.minimum(offset, len(scores) - 1)]
+    best = model.start[None, :] + scores[rows_at(0)]
+    last = best.copy()
     for t in range(1, int(lengths.max(initial=0))):
-        k = int(np.searchsorted(-lengths, -t, side="left"))  # documents with more than t lines
-        at = offset[:k] + t
-        through = best[:k, :, None] + step[None]
+        at = rows_at(t)
+        through = last[: len(at), :, None] + model.step[None]
         back[at] = through.argmax(1)
-        best[:k] = through.max(1) + scores[at]
-    now = best.argmax(1).astype(np.int8)
+        last[: len(at)] = through.max(1) + scores[at]
+    now = last.argmax(1).astype(np.int8)
     for t in range(int(lengths.max(initial=0)) - 1, -1, -1):
-        k = int(np.searchsorted(-lengths, -t, side="left"))
-        at = offset[:k] + t
-        state[at] = now[:k]
-        now[:k] = back[at, now[:k]]
+        at = rows_at(t)
+        state[at] = now[: len(at)]
+        now[: len(at)] = back[at, now[: len(at)]]
     return state
 
 
 FIELDS = ("n_chars_visible", "n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share", "prose_share", "list_share", "table_share", "junk_share")
 
 
-def document_statistics(texts: pa.Array) -> list[np.ndarray]:
+def document_statistics(texts: pa.Array, model: Model | None = None) -> list[np.ndarray]:
     """FIELDS for every text."""
+    model = model or guess()
     x, doc, n_lines = measure(texts)
-    state = viterbi(emissions(x), n_lines)
+    state = viterbi(features(x) @ model.weights.T, n_lines, model)
     n = len(n_lines)
     total = lambda v: np.bincount(doc, weights=v, minlength=n)
     visible, words = total(x["visible"]), total(x["words"])
@@ -294,19 +470,19 @@ def document_statistics(texts: pa.Array) -> list[np.ndarray]:
     return out + [over(total(x["visible"] * (state == s)), visible) for s in range(4)]
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in bounded(whole, whole.num_columns - 1)):
-        found = document_statistics(batch.column(batch.num_columns - 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found)], names=[*batch.schema.names[:-1], *FIELDS])
-
-
-def with_statistics(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+def with_statistics(docs: DataFrame, keys: list[str], text: str, model: Model | None = None) -> DataFrame:
     """keys and FIELDS for every row. Null, empty and invisible texts have zeros throughout; long texts are measured whole."""
     own = docs.select(*keys, text)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(_run, f"{kinds}, n_chars_visible long, n_words long, " + ", ".join(f"{f} double" for f in FIELDS[2:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in bounded(whole, whole.num_columns - 1)):
+            found = document_statistics(batch.column(batch.num_columns - 1), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found)], names=[*batch.schema.names[:-1], *FIELDS])
+
+    return own.mapInArrow(run, f"{kinds}, n_chars_visible long, n_words long, " + ", ".join(f"{f} double" for f in FIELDS[2:]))
 
 
-def not_prose(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def not_prose(docs: DataFrame, key: str = "doc_id", text: str = "text", labels: DataFrame | None = None) -> DataFrame:
     """Keys of the documents of which less than half the visible text is prose; texts without any are no cases."""
-    return with_statistics(docs, [key], text).where((F.col("n_chars_visible") > 0) & (F.col("prose_share") < 0.5)).select(key).distinct()
+    return with_statistics(docs, [key], text, fitted(docs, labels, key, text)).where((F.col("n_chars_visible") > 0) & (F.col("prose_share") < 0.5)).select(key).distinct()

@@ -109,11 +109,12 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.not_prose(table(spark, d, "documents"))
+    return quality.not_prose(table(spark, d, "documents"), labels=table(spark, d, "doc_label"))
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
-    measured = quality.with_statistics(table(spark, d, "documents"), ["doc_id"], "text")
+    docs = table(spark, d, "documents")
+    measured = quality.with_statistics(docs, ["doc_id"], "text", quality.fitted(docs, table(spark, d, "doc_label")))
     return measured.select("doc_id", "n_chars_visible", "n_words", *[F.round(c, 6).alias(c) for c in quality.FIELDS[2:]])
 
 

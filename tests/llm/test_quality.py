@@ -76,3 +76,36 @@ def test_tables(spark):
     assert rows[3].n_words == 0 and rows[5].prose_share == 0
     assert quality.not_prose(docs.limit(0)).count() == 0
     assert quality.document_statistics(pa.array(["word. " * 300_000]))[1][0] == 300_000
+
+
+def test_marginals_against_brute_force():
+    rng = np.random.default_rng(3)
+    model = quality.guess()
+    scores = rng.normal(size=(5, 4))
+    ways = {}
+    for path in itertools.product(range(4), repeat=4):
+        ways[path] = np.exp(model.start[path[0]] + sum(scores[i, s] for i, s in enumerate(path)) + sum(model.step[a, b] for a, b in zip(path, path[1:])))
+    total = sum(ways.values())
+    found, steps, starts = quality.marginals(scores, np.array([4, 1]), model)
+    for i in range(4):
+        for s in range(4):
+            assert abs(found[i, s] - sum(w for p, w in ways.items() if p[i] == s) / total) < 1e-9
+    assert abs(steps.sum() - 3) < 1e-9 and abs(starts.sum() - 2) < 1e-9
+    assert abs(steps[0, 1] - sum(w * sum(a == 0 and b == 1 for a, b in zip(p, p[1:])) for p, w in ways.items()) / total) < 1e-9
+
+
+def test_labels_correct_the_guess():
+    lines = ["Glimmer stone walks over dark river\nquietly"] * 1000
+    x, doc, n = quality.measure(pa.array(lines))
+    before = quality.marginals(quality.features(x) @ quality.guess().weights.T, n, quality.guess())[0][:, 0].mean()
+    other = quality.fit(x, doc, n, np.zeros(1000, bool))
+    after = quality.marginals(quality.features(x) @ other.weights.T, n, other)[0][:, 0].mean()
+    assert after < 0.5 < before
+
+
+def test_no_labels(spark):
+    docs = spark.createDataFrame([(1, "The cat sat on the mat and it was warm."), (2, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "prose"), (1, "prose"), (2, "other"), (9, "other"), (None, "prose")], "doc_id long, label string")
+    assert quality.fitted(docs, None).weights.shape == quality.fitted(docs, labels).weights.shape
+    assert np.allclose(quality.fitted(docs, labels.limit(0)).weights, quality.guess().weights)
+    assert quality.not_prose(docs, labels=labels).count() == 0
