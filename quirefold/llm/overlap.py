@@ -22,8 +22,8 @@ from quirefold.session import cut
 GRAM = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BUCKET_SHIFT = np.uint64(44)  # grams are counted by their first 20 bits
-# Slips a key may have: none below 10 characters, one below 24, else two.
-SALTS = 8  # a key that very many training records share is met by so many tasks
+HOT_GRAM = 100_000  # training keys of a gram that one task meets
+SALTS = 8  # a title or checksum that very many records share is met by so many tasks on either side
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 TRAINING = ("discovery",)
 EVALUATION = ("development", "locked-test", "control")
@@ -52,29 +52,31 @@ def sha_key(sha: Column, size: Column) -> Column:
 
 def title_parts(records: DataFrame, title: str) -> DataFrame:
     """``records`` with ``full`` and ``main`` (letters and digits of the title, and of it without its subtitle), ``numbers`` (what tells volumes, parts and years apart) and ``has_sub``."""
-    plain = with_plain(records, title, "_t", context=True)
-    t = F.regexp_replace(F.lower(F.upper(F.col("_t"))), "[\\s\\u00a0]+", " ")
-    t = F.regexp_replace(F.trim(t), "\\s*[&＆]\\s*", " and ")
+    rows = with_plain(records, title, "_t", context=True)
+    # Each step is a column of its own, as what is read twice would be computed twice; patterns run only where their sign occurs.
+    step = lambda c: rows.withColumn("_t", c)
+    t = F.col("_t")
+    rows = step(F.regexp_replace(F.lower(F.upper(t)), "[\\s\\u00a0]+", " "))
+    rows = step(F.when(t.rlike("[&＆]"), F.regexp_replace(F.trim(t), "\\s*[&＆]\\s*", " and ")).otherwise(F.trim(t)))
     # Remarks in brackets anywhere, or at the end after punctuation.
-    t = F.regexp_replace(t, f"\\s*[\\(\\[\\{{]\\s*{REMARK}\\s*[\\)\\]\\}}]", "")
+    rows = step(F.when(t.rlike("[(\\[{]"), F.regexp_replace(t, f"\\s*[\\(\\[\\{{]\\s*{REMARK}\\s*[\\)\\]\\}}]", "")).otherwise(t))
     for _ in range(2):
-        t = F.regexp_replace(t, f"\\s*(?:[,;:.–—-]|\\s/)\\s*{REMARK}[\\s.]*$", "")
-    t = F.regexp_replace(t, f"\\s+{EDITION}[\\s.]*$", "")
+        rows = step(F.when(t.rlike("[,;:.–—/-]"), F.regexp_replace(t, f"\\s*(?:[,;:.–—-]|\\s/)\\s*{REMARK}[\\s.]*$", "")).otherwise(t))
+    rows = step(F.when(t.rlike("ed(?:ition|n)?\\.?[\\s.]*$"), F.regexp_replace(t, f"\\s+{EDITION}[\\s.]*$", "")).otherwise(t))
     # A remark of two words with a slip in one of them.
-    t = F.regexp_replace(t, f"\\s*(?:[,;/(\\[]|\\s[–—-])\\s*(?:(?:{SURE_WORDS})\\s+\\p{{L}}{{3,11}}|\\p{{L}}{{3,11}}\\s+(?:{SURE_WORDS}))[\\s.)\\]]*$", "")
+    slip = f"\\s*(?:[,;/(\\[]|\\s[–—-])\\s*(?:(?:{SURE_WORDS})\\s+\\p{{L}}{{3,11}}|\\p{{L}}{{3,11}}\\s+(?:{SURE_WORDS}))[\\s.)\\]]*$"
+    rows = step(F.when(t.rlike(f"(?:{SURE_WORDS})"), F.regexp_replace(t, slip, "")).otherwise(t))
+    number = F.regexp_extract_all(t, F.lit(f"(?:\\b(?:{PART_WORDS})\\b\\.?\\s*([ivxlcdm]+|{NUMBER_WORDS})\\b)|([0-9]+)"), F.lit(0))
+    numbers = F.array_join(F.array_sort(F.transform(number, lambda x: F.regexp_extract(x, "([0-9]+|[ivxlcdm]+|[a-z]+)$", 1))), ",")
+    rows = rows.withColumn("numbers", numbers)
     part = f"(?:[\\s,;:.–—-]*[\\(\\[]?\\s*\\b(?:{PART_WORDS})\\b\\.?\\s*(?:[0-9]+|[ivxlcdm]+|{NUMBER_WORDS})\\b\\s*[\\)\\]]?[\\s.]*)"
-    plain = plain.withColumn("_t", t)
-    number = F.regexp_extract_all(F.col("_t"), F.lit(f"(?:\\b(?:{PART_WORDS})\\b\\.?\\s*([ivxlcdm]+|{NUMBER_WORDS})\\b)|([0-9]+)"), F.lit(0))
-    roman = F.array_sort(F.transform(number, lambda x: F.regexp_extract(x, "([0-9]+|[ivxlcdm]+|[a-z]+)$", 1)))
-    bare = F.regexp_replace(F.col("_t"), part, " ")
-    plain = plain.withColumns({"numbers": F.array_join(roman, ","), "_b": bare})
-    bare = F.regexp_replace(F.col("_b"), f"^[^\\p{{L}}\\p{{N}}]*(?:(?:{ARTICLES})\\s+)+(?=\\S)", "")
+    rows = step(F.when(F.col("numbers") != "", F.regexp_replace(t, part, " ")).otherwise(t))
+    rows = step(F.regexp_replace(t, f"^[^\\p{{L}}\\p{{N}}]*(?:(?:{ARTICLES})\\s+)+(?=\\S)", ""))
     letters = lambda c: F.regexp_replace(c, "[^\\p{L}\\p{N}]+", "")
-    head = F.regexp_extract(bare, "^(.+?)\\s*(?::\\s|\\s[–—-]\\s|;\\s|:$)", 1)
-    full = letters(bare)
-    main = letters(head)
-    has_sub = (F.length(main) > 0) & (F.length(main) < F.length(full))
-    return plain.withColumns({"full": full, "main": F.when(has_sub, main).otherwise(full), "has_sub": has_sub}).drop("_t", "_b")
+    head = F.regexp_extract(t, "^(.+?)\\s*(?::\\s|\\s[–—-]\\s|;\\s|:$)", 1)
+    rows = rows.withColumns({"full": letters(t), "main": F.when(t.rlike("[:;]|\\s[–—-]\\s"), letters(head)).otherwise("")})
+    rows = rows.withColumn("has_sub", (F.length("main") > 0) & (F.length("main") < F.length("full")))
+    return rows.withColumn("main", F.when(F.col("has_sub"), F.col("main")).otherwise(F.col("full"))).drop("_t")
 
 
 def _distance_at_most(a: str, b: str, k: int) -> bool:
@@ -127,49 +129,64 @@ def _gram_values(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bucket, n = np.unique(_gram_values(batch.column(0))[0] >> BUCKET_SHIFT, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+        value, row, _, _ = _gram_values(batch.column(0))
+        bucket, at = np.unique(value >> BUCKET_SHIFT, return_inverse=True)
+        n = [np.bincount(at, weights=batch.column(c).to_numpy(zero_copy_only=False)[row], minlength=len(bucket)).astype(np.int64) for c in (1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *map(pa.array, n)], names=["bucket", "n_e", "n_t"])
 
 
-def _prefixes(frequency) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixes(counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_e, n_t = counts.value
         for batch in batches:
             value, row, place, size = _gram_values(batch.column(0))
             # One order for all keys: how often the gram's bucket occurs, then the gram, then its place.
-            order = np.lexsort((place, value, frequency.value[value >> BUCKET_SHIFT], row))
-            value, row, place = value[order], row[order], place[order]
+            bucket = value >> BUCKET_SHIFT
+            order = np.lexsort((place, value, n_e[bucket] + n_t[bucket], row))
+            value, row, place, bucket = value[order], row[order], place[order], bucket[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
-            k = np.where(size < 10, 0, np.where(size < 24, 1, 2))
-            kept = rank <= k[row] * (GRAM + 1)
+            k = slips(size)
+            in_e, in_t = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[row] for c in ("in_e", "in_t"))
+            # A gram of the prefix that no key of the other split has meets nothing, so it is not shuffled.
+            meets = (in_e & (n_t[bucket] > in_t)) | (in_t & (n_e[bucket] > in_e))
+            kept = (rank <= k[row] * (GRAM + 1)) & meets
             row = row[kept]
             rest = batch.select(["kid", "in_e", "in_t"]).take(pa.array(row))
+            salts = 1 + n_t[bucket[kept]] // HOT_GRAM
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(size[row].astype(np.int32)), pa.array(k[row].astype(np.int32)), pa.array(value[kept].view(np.int64)), pa.array(place[kept].astype(np.int32))],
-                names=["kid", "in_e", "in_t", "len", "k", "gram", "pos"],
+                [*rest.columns, pa.array(size[row].astype(np.int32)), pa.array(value[kept].view(np.int64)), pa.array(place[kept].astype(np.int32)), pa.array(salts.astype(np.int32))],
+                names=["kid", "in_e", "in_t", "len", "gram", "pos", "salts"],
             )
 
     return run
 
 
+def slips(length):
+    """Slips that keys of so many characters may have: none below 10, one below 24, else two."""
+    return np.where(length < 10, 0, np.where(length < 24, 1, 2))
+
+
 def near_keys(keys: DataFrame) -> DataFrame:
     """key_e, key_t: every evaluation key and training key within the slips allowed, equal ones included.
 
     ``keys`` has distinct key (string), in_e, in_t (boolean). Empty keys meet nothing. Grams are counted in 2**20 buckets, a table whose size
-    does not depend on the data, and each key's rarest ones are picked where the key is; only those are shuffled. Grams that are
-    hashed alike can only add candidates, which the edit distance sorts out.
+    does not depend on the data, and each key's rarest ones are picked where the key is; only those that the other split may have
+    are shuffled, without their keys. A gram of many training keys is met by several tasks. Grams that are hashed alike can only
+    add candidates, which the edit distance sorts out.
     """
     spark = keys.sparkSession
     own = cut(keys.where(F.length("key") > 0).select("key", "in_e", "in_t", F.xxhash64("key").alias("kid")))
     equal = own.where("in_e and in_t").select(F.col("key").alias("key_e"), F.col("key").alias("key_t"))
     long_ = own.where(F.length("key") >= 10)
-    counted = long_.select("key").mapInArrow(_count_grams, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(1 << (64 - int(BUCKET_SHIFT)), np.int64)
-    frequency[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    prefix = cut(long_.mapInArrow(_prefixes(spark.sparkContext.broadcast(frequency)), "kid long, in_e boolean, in_t boolean, len int, k int, gram long, pos int"))
-    e = prefix.where("in_e").select(F.col("kid").alias("kid_e"), F.col("len").alias("len_e"), F.col("k").alias("k_e"), "gram", F.col("pos").alias("pos_e"))
-    t = prefix.where("in_t").select(F.col("kid").alias("kid_t"), F.col("len").alias("len_t"), F.col("k").alias("k_t"), "gram", F.col("pos").alias("pos_t"))
-    k = F.least("k_e", "k_t")
-    pairs = e.join(t, "gram").where((F.abs(F.col("len_e") - F.col("len_t")) <= k) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= k) & (F.col("kid_e") != F.col("kid_t")))
+    counted = long_.select("key", "in_e", "in_t").mapInArrow(_count_grams, "bucket int, n_e long, n_t long").groupBy("bucket").agg(F.sum("n_e").alias("n_e"), F.sum("n_t").alias("n_t")).toArrow()
+    counts = np.zeros((2, 1 << (64 - int(BUCKET_SHIFT))), np.int64)
+    counts[:, counted.column("bucket").to_numpy()] = [counted.column(c).to_numpy() for c in ("n_e", "n_t")]
+    prefix = cut(long_.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), "kid long, in_e boolean, in_t boolean, len int, gram long, pos int, salts int"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("kid", "len", "pos")]
+    e = prefix.where("in_e").select("gram", *side("e"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    t = prefix.where("in_t").select("gram", *side("t"), F.pmod("kid", "salts").cast("int").alias("salt"))
+    k = F.when(F.least("len_e", "len_t") < 24, 1).otherwise(2)  # see slips; shorter keys have no grams here
+    pairs = e.join(t, ["gram", "salt"]).where((F.abs(F.col("len_e") - F.col("len_t")) <= k) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= k) & (F.col("kid_e") != F.col("kid_t")))
     pairs = pairs.select("kid_e", "kid_t", k.alias("k")).distinct()
     pairs = pairs.join(own.where("in_e").select(F.col("kid").alias("kid_e"), F.col("key").alias("key_e")), "kid_e").join(own.where("in_t").select(F.col("kid").alias("kid_t"), F.col("key").alias("key_t")), "kid_t")
     pairs = pairs.select("key_e", "key_t", "k")
@@ -189,17 +206,19 @@ def cross_split_overlaps(records: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     by_sum = sums.where(~F.col("train")).select(F.col("id").alias("id_e"), "sha", every.alias("salt")).join(sums.where("train").select(F.col("id").alias("id_t"), "sha", salt.alias("salt")), ["sha", "salt"]).select("id_e", "id_t", F.lit("checksum").alias("by"))
 
-    titled = title_parts(own.where(F.col("title").isNotNull()), "title").select("id", "train", "full", "main", "numbers", "has_sub").distinct()
+    titled = title_parts(own.where(F.col("title").isNotNull()), "title")
     # A record stands under its whole title and, if it has a subtitle, under the title without it. Two that both lack theirs are no pair.
-    whole = titled.select("id", "train", "numbers", F.col("full").alias("key"), F.lit(False).alias("short"), "has_sub")
-    short = titled.where("has_sub").select("id", "train", "numbers", F.col("main").alias("key"), F.lit(True).alias("short"), "has_sub")
-    stands = cut(whole.unionByName(short).where(F.length("key") > 0))
+    as_whole = F.struct(F.col("full").alias("key"), F.lit(False).alias("short"))
+    as_short = F.struct(F.col("main").alias("key"), F.lit(True).alias("short"))
+    stands = titled.select("id", "train", "numbers", "has_sub", F.explode(F.when(F.col("has_sub"), F.array(as_whole, as_short)).otherwise(F.array(as_whole))).alias("s"))
+    stands = cut(stands.select("id", "train", "numbers", "has_sub", "s.key", "s.short").where(F.length("key") > 0))
     keys = stands.groupBy("key").agg(F.max(~F.col("train")).alias("in_e"), F.max("train").alias("in_t"))
     near = near_keys(keys)
-    e = stands.where(~F.col("train")).select(F.col("id").alias("id_e"), F.col("key").alias("key_e"), F.col("numbers").alias("num_e"), F.col("short").alias("short_e"), F.col("has_sub").alias("sub_e"))
+    every_e = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    e = stands.where(~F.col("train")).select(F.col("id").alias("id_e"), F.col("key").alias("key_e"), F.col("numbers").alias("num_e"), F.col("short").alias("short_e"), F.col("has_sub").alias("sub_e"), salt.alias("salt_e"))
     t = stands.where("train").select(F.col("id").alias("id_t"), F.col("key").alias("key_t"), F.col("numbers").alias("num_t"), F.col("short").alias("short_t"), F.col("has_sub").alias("sub_t"), salt.alias("salt"))
     fit = (F.col("num_e") == F.col("num_t")) & ~(F.col("short_e") & F.col("sub_t")) & ~(F.col("short_t") & F.col("sub_e"))
-    by_title = near.join(e, "key_e").withColumn("salt", every).join(t, ["key_t", "salt"]).where(fit).select("id_e", "id_t", F.lit("title").alias("by"))
+    by_title = near.withColumn("salt_e", every_e).join(e, ["key_e", "salt_e"]).withColumn("salt", every).join(t, ["key_t", "salt"]).where(fit).select("id_e", "id_t", F.lit("title").alias("by"))
     return by_sum.unionByName(by_title).distinct()
 
 
