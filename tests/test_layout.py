@@ -33,7 +33,7 @@ def test_columns_are_read_one_after_the_other(spark):
 def test_pages_without_spans_use_their_text(spark):
     pages, lines = book(spark, [span(1, 0, 0, "spanned")], {0: "first line\r\nsecond line\n" + "\n".join(f"l{i}" for i in range(60)), 1: "ignored"})
     rows = lines.where("pageindex = 0").orderBy("lineno").collect()
-    assert rows[0].text == "first line" and rows[1].sourcestart == 11 and len(rows) == 46
+    assert rows[0].text == "first line" and rows[1].sourcestart == 11 and len(rows) == 62 and max(r.y for r in rows) < 792
     assert lines.where("pageindex = 1").first().text == "spanned"
 
 
