@@ -19,7 +19,7 @@ from quirefold.session import cut
 BUCKET = 50_000  # rows of a bucket, about
 SPAN = 1 << 30
 NEAR = 0.002  # of its share a source may lack at the cut
-IN_FLIGHT = 50  # long documents of a source that may be moved behind its others
+IN_FLIGHT = 200  # documents of a source that are looked at behind the cut
 
 
 def _prefixes(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
@@ -31,32 +31,37 @@ def _prefixes(df: DataFrame, group: list[str], order: list[str], sums: dict[str,
 def _without_overhang(timed: DataFrame, spend: float, part: dict[str, float], whole: dict[str, float]) -> DataFrame:
     """``timed`` with the long documents that are in flight at time ``spend`` put behind all others of their source.
 
-    A handful of documents a source: each round looks at one row of each, and what was moved is known by its finish time.
+    The next IN_FLIGHT documents of each source are walked in their order: one that what is left of the source's share can hold is
+    taken, one that it cannot hold waits at the queue's end, until the share is nearly full. A few rows of each target come to the driver.
     """
-    moved: dict[str, list[tuple[float, int]]] = {s: [] for s in whole}
-    if not moved:
+    order = Window.partitionBy("source").orderBy("finish", F.desc("n_tokens"))
+    ahead = timed.where(F.col("finish") > spend * (1 + 1e-12)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= IN_FLIGHT).select("source", "r", "finish", "n_tokens").collect()
+    rows = []
+    for s in whole:
+        moved: list[tuple[float, int]] = []
+        left = None
+        for r in sorted((r for r in ahead if r["source"] == s), key=lambda r: r["r"]):
+            if left is None:
+                left = (spend - r["finish"]) * part[s] + r["n_tokens"]
+            if left <= NEAR * spend * part[s]:
+                break
+            if r["n_tokens"] <= left:
+                left -= r["n_tokens"]
+            else:
+                moved.append((r["finish"], r["n_tokens"]))
+        behind = whole[s]  # the queue's end, from which those that wait are placed backwards
+        for end, n in reversed(moved):
+            rows.append((s, end, n, behind / part[s]))
+            behind -= n
+    if not rows:
         return timed
-    for _ in range(IN_FLIGHT):
-        until = {s: spend + sum(n for _, n in m) / part[s] for s, m in moved.items()}
-        limit = F.create_map(*[F.lit(x) for pair in until.items() for x in pair])[F.col("source")]
-        ahead = timed.where(F.col("finish") > limit * (1 + 1e-12)).groupBy("source").agg(F.min(F.struct("finish", "n_tokens")).alias("next")).collect()  # as many rows as targets
-        settled = True
-        for r in ahead:
-            begun = until[r["source"]] - (r["next"]["finish"] - r["next"]["n_tokens"] / part[r["source"]])
-            if begun > NEAR * spend:
-                moved[r["source"]].append((r["next"]["finish"], r["next"]["n_tokens"]))
-                settled = False
-        if settled:
-            break
-    finish = F.col("finish")
-    for s, late in moved.items():
-        this = F.col("source") == s
-        for i, (end, n) in enumerate(late):
-            behind = whole[s] - sum(later for _, later in late[i + 1 :])
-            own = (F.col("finish") == end) & (F.col("n_tokens") == n)
-            finish = F.when(this & own, F.lit(behind / part[s])).otherwise(finish - F.when(this & ~own & (F.col("finish") >= end), n / part[s]).otherwise(0.0))
-    timed = timed.withColumn("_finish", finish).drop("finish").withColumnRenamed("_finish", "finish")
-    return timed
+    waits = timed.sparkSession.createDataFrame(rows, "source string, end double, n long, new double").groupBy("source").agg(F.collect_list(F.struct("end", "n", "new")).alias("_waits"))
+    joined = timed.join(F.broadcast(waits), "source", "left")  # at most IN_FLIGHT entries in each of as many rows as targets
+    own = F.filter("_waits", lambda w: (w["end"] == F.col("finish")) & (w["n"] == F.col("n_tokens")))
+    shift = F.aggregate(F.filter("_waits", lambda w: w["end"] <= F.col("finish")), F.lit(0).cast("long"), lambda total, w: total + w["n"])
+    share = F.create_map(*[F.lit(x) for pair in part.items() for x in pair])[F.col("source")]
+    new = F.when(F.col("_waits").isNull(), F.col("finish")).when(F.size(own) > 0, F.try_element_at(own, F.lit(1))["new"]).otherwise(F.col("finish") - shift / share)
+    return joined.withColumn("finish", new).drop("_waits")
 
 
 def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -41,3 +41,13 @@ def test_empty(spark):
     assert mixing.mixture(docs.limit(0), aims).count() == 0
     assert mixing.mixture(docs, aims.limit(0)).count() == 0
     assert mixing.mixture_report(mixing.mixture(docs.limit(0), aims), aims).count() == 3
+
+
+def test_long_documents_in_flight_wait(spark):
+    docs = [(i, "word " * (40 if i % 9 == 0 else 3), "a") for i in range(400)] + [(1000 + i, "tree " * (60 if i % 5 == 0 else 2), "b") for i in range(300)]
+    aims = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, targetshare double, maxrepeat int")
+    mixed = mixing.mixture(spark.createDataFrame(docs, "doc_id long, text string, source string"), aims, budget=1500)
+    rows = mixed.collect()
+    assert 1480 <= sum(r.n_tokens for r in rows) <= 1500 and max(Counter(r.doc_id for r in rows).values()) == 1
+    assert all(abs(r.share - 0.5) < 0.01 for r in mixing.mixture_report(mixed, aims).collect())
+    assert any(r.n_tokens > 30 for r in rows)
