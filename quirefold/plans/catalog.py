@@ -375,7 +375,7 @@ def page_pages(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def scan_votes(spark: SparkSession, d: str) -> DataFrame:
     scans_, own = _scans(spark, d)
-    return match.votes(match.scan_queries(scans_), match.book_words(own)).select("bookid", "scanid", "bucket", "n")
+    return match.votes(match.scan_queries(scans_), match.placed_words(own)).select("bookid", "scanid", "bucket", "n")
 
 
 @query()
