@@ -161,7 +161,11 @@ def _words(c: Column) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """For layout: equal 1, one inside the other the ratio of their lengths, else shared words (Dice)."""
-    x, y = key(a), key(b)
+    return key_similarity(key(a), key(b))
+
+
+def key_similarity(x: Column, y: Column) -> Column:
+    """``title_similarity`` of texts from their keys."""
     ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
     return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), ratio).otherwise(_dice(_words(x), _words(y)))
 
