@@ -2,7 +2,7 @@
 
 Each line is normalised and hashed; a two-step count (distinct source, hash, document, then documents by source
 and hash) gives the documents that have it; hashes above the threshold are joined back, and documents are rebuilt
-without them. A hot line never meets one task: the first step is spread by document and the join back is salted.
+without them. A hot line never meets one task: the first step is spread by document, and so is the join back of hot lines.
 """
 
 from __future__ import annotations
@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm import hot
 from quirefold.llm.chars import with_plain
 from quirefold.session import cut
 
-SALTS = 8
-
 
 def numbered_lines(docs: DataFrame, source: str, doc: str, text: str, label: str | None = None) -> DataFrame:
-    """One row per line: source, doc, lineindex, line, label. Null texts have no lines."""
-    own = F.col(label) if label else F.lit(None).cast("string")
+    """One row per line: source, doc, lineindex, line, label (in small letters). Null texts have no lines."""
+    own = F.trim(F.lower(F.upper(F.col(label)))) if label else F.lit(None).cast("string")
+    docs = docs.withColumn("_label", own)  # once a document, not once a line
     return docs.where(F.col(text).isNotNull()).select(
-        F.col(source).alias("source"), F.col(doc).alias("doc"), own.alias("label"), F.posexplode(F.split(F.col(text), "\n")).alias("lineindex", "line")
+        F.col(source).alias("source"), F.col(doc).alias("doc"), F.col("_label").alias("label"), F.posexplode(F.split(F.col(text), "\n")).alias("lineindex", "line")
     )
 
 
@@ -29,12 +29,17 @@ def line_keys(lines: DataFrame) -> DataFrame:
 
     A line that is nothing but the label has a key too, so bare page numbers are equal to each other.
     """
-    plain = with_plain(lines, "line", "plain", context=True)
-    folded = F.regexp_replace(F.lower(F.upper(F.col("plain"))), "ς", "σ")
-    own = F.trim(F.lower(F.upper(F.col("label"))))
+    plain = with_plain(lines, "line", "plain", context=True).where(F.trim("plain") != "")
+    # Columns that are read twice are steps of their own, so that they are computed once.
+    plain = plain.withColumns({"plain": F.translate(F.lower(F.upper(F.col("plain"))), "ς", "σ"), "label": F.coalesce("label", F.lit(""))})
+    own, folded = F.col("label"), F.col("plain")
+    # Spacing is dropped anyway, so a label that is one word is left out of the line's words and signs; only other labels need a pattern of their own.
+    signs = F.regexp_extract_all(folded, F.lit("[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]"), F.lit(0))
+    words = F.array_join(F.filter(signs, lambda w: w != own), "")
     pattern = F.concat(F.lit("(?<![\\p{L}\\p{N}])\\Q"), F.regexp_replace(own, "\\\\E", ""), F.lit("\\E(?![\\p{L}\\p{N}])"))
-    bare = F.when(F.coalesce(own, F.lit("")) != "", F.regexp_replace(folded, pattern, "")).otherwise(folded)
-    return plain.where(F.trim("plain") != "").withColumn("key", F.xxhash64(F.regexp_replace(bare, "\\s+", ""), F.lit("line"))).drop("plain")
+    other = F.regexp_replace(folded, pattern, "")
+    bare = F.when((own != "") & F.contains(folded, own), F.when(own.rlike("^[\\p{L}\\p{N}]+$"), words).otherwise(other)).otherwise(folded)
+    return plain.withColumn("key", F.xxhash64(F.translate(bare, " \t\n\r\x0b\x0c", ""), F.lit("line"))).drop("plain")
 
 
 def repeated_keys(keyed: DataFrame, docs: DataFrame | None = None, least_docs: int = 5, least_share: float = 0.0) -> DataFrame:
@@ -55,9 +60,7 @@ def repeated_lines(docs: DataFrame, source: str, doc: str, text: str, label: str
     own = own.where(F.col("source").isNotNull())
     keyed = cut(line_keys(numbered_lines(own, "source", "doc", "text", "label")).select("source", "doc", "lineindex", "key"))  # read twice
     found = repeated_keys(keyed, own, least_docs, least_share)
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = keyed.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    return left.join(salted, ["source", "key", "salt"]).select("source", "doc", "lineindex", "n_docs").distinct()
+    return hot.joined(keyed, found, ["source", "key"], "doc", keyed.count(), "n_docs").select("source", "doc", "lineindex", "n_docs").distinct()
 
 
 def without_lines(docs: DataFrame, found: DataFrame, source: str, doc: str, text: str) -> DataFrame:
