@@ -10,6 +10,9 @@ from quirefold.operators.scans import backward_asof, nearest, running_sum
 from quirefold.session import cut
 
 
+MOST_LEVELS = 256
+
+
 def unit_rows(predictions: DataFrame) -> DataFrame:
     """bookid, unitno, text, pageindex, readingstart: the units of each book's newest prediction (repeats are equal; the smallest row is taken)."""
     w = Window.partitionBy("bookid").orderBy(F.desc("parserversion"), F.asc_nulls_last("ingestedat"))
@@ -31,13 +34,19 @@ def section_ranges(sections: DataFrame, last_pages: DataFrame) -> DataFrame:
     return sections.join(last_pages.select("bookid", "lastpage"), "bookid", "left").withColumn("endpage", F.greatest("startpage", ends)).drop("lastpage")
 
 
-def section_parents(sections: DataFrame, depth: int = 6) -> DataFrame:
-    """``sections`` (with level) with parentno, the nearest earlier section of a smaller level; null at the top."""
+def section_parents(sections: DataFrame) -> DataFrame:
+    """``sections`` (with level) with parentno, the nearest earlier section of a smaller level; null at the top.
+
+    A window for each level that occurs, however deep: their number (at most MOST_LEVELS) is that of nested headings, not of rows.
+    """
+    levels = [r["level"] for r in sections.select("level").where(F.col("level").isNotNull()).distinct().orderBy("level").limit(MOST_LEVELS + 1).collect()]
+    if len(levels) > MOST_LEVELS:
+        raise ValueError("sections have too many levels")
     w = Window.partitionBy("bookid").orderBy("sectionno").rowsBetween(Window.unboundedPreceding, -1)
     at = lambda k: F.last(F.when(F.col("level") == k, F.col("sectionno")), ignorenulls=True).over(w)
-    lasts = sections.withColumns({f"_l{k}": at(k) for k in range(depth)})
-    above = F.greatest(*[F.when(F.lit(k) < F.col("level"), F.col(f"_l{k}")) for k in range(depth)])
-    return lasts.withColumn("parentno", above).drop(*[f"_l{k}" for k in range(depth)])
+    lasts = sections.withColumns({f"_l{i}": at(k) for i, k in enumerate(levels)})
+    above = [F.when(F.lit(k) < F.col("level"), F.col(f"_l{i}")) for i, k in enumerate(levels)] + [F.lit(None).cast("int")] * 2
+    return lasts.withColumn("parentno", F.greatest(*above)).drop(*[f"_l{i}" for i in range(len(levels))])
 
 
 def units_in_sections(units: DataFrame, sections: DataFrame) -> DataFrame:
@@ -62,6 +71,12 @@ def progress(offsets: DataFrame) -> DataFrame:
     return offsets.select("bookid", "unitno", F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction)).alias("fraction"))
 
 
+def position_summaries(offsets: DataFrame, titles: DataFrame) -> DataFrame:
+    """bookid, unitno, pageindex, section, wordsread, words, units: a library row for every place; ``titles`` has bookid, sectionno, section."""
+    named = offsets.join(titles, ["bookid", "sectionno"], "left")
+    return named.select("bookid", "unitno", "pageindex", "section", F.col("offset").alias("wordsread"), F.col("total").alias("words"), "units")
+
+
 def chapter_marks(offsets: DataFrame, chapters: DataFrame) -> DataFrame:
     """bookid, marks: where chapters (bookid, unitno, kind) begin as fractions of the words, with 0 and 1; books without chapters or words have no row."""
     own = chapters.where(F.col("kind").isNull() | (F.col("kind") == "chapter")).join(offsets, ["bookid", "unitno"]).where((F.col("unitno") >= F.col("readingstart")) & (F.col("total") > 0))

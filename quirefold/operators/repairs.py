@@ -158,16 +158,23 @@ def reading_starts(sections: DataFrame) -> DataFrame:
     return per.select("bookid", F.coalesce("a.startunit", "b.startunit", F.lit(0)).alias("startunit"))
 
 
-def unit_ranges(sections: DataFrame, units: DataFrame, depth: int = 8) -> DataFrame:
-    """``sections`` (bookid, sectionno, parentno) with startunit and endunit over their own units (bookid, unitno, sectionno) and those of the sections inside them; -1 for none."""
-    own = units.groupBy("bookid", "sectionno").agg(F.min("unitno").alias("a"), F.max("unitno").alias("b"))
-    parents = sections.select("bookid", F.col("sectionno").alias("_child"), "parentno")
-    reach = own
-    level = own
-    for _ in range(depth):
-        level = level.join(parents, (level["sectionno"] == parents["_child"]) & (level["bookid"] == parents["bookid"])).where(F.col("parentno").isNotNull()).select(level["bookid"], F.col("parentno").alias("sectionno"), "a", "b")
-        level = level.groupBy("bookid", "sectionno").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-        reach = reach.unionByName(level)
+def unit_ranges(sections: DataFrame, units: DataFrame, most_depth: int = 1000) -> DataFrame:
+    """``sections`` (bookid, sectionno, parentno) with startunit and endunit over their own units (bookid, unitno, sectionno) and those of the sections inside them; -1 for none.
+
+    Ranges climb a level a round until none has a parent, so a round for each level of nesting; sections that contain each other raise an error.
+    """
+    level = units.groupBy("bookid", "sectionno").agg(F.min("unitno").alias("a"), F.max("unitno").alias("b"))
+    parents = sections.where(F.col("parentno").isNotNull()).select("bookid", "sectionno", "parentno")
+    reach = level
+    if not parents.isEmpty():
+        reach = level = cut(level)
+        for _ in range(most_depth):
+            level = cut(level.join(parents, ["bookid", "sectionno"]).groupBy("bookid", F.col("parentno").alias("sectionno")).agg(F.min("a").alias("a"), F.max("b").alias("b")))
+            if level.isEmpty():
+                break
+            reach = reach.unionByName(level)
+        else:
+            raise RuntimeError("sections contain each other")
     whole = reach.groupBy("bookid", "sectionno").agg(F.min("a").alias("startunit"), F.max("b").alias("endunit"))
     return sections.join(whole, ["bookid", "sectionno"], "left").withColumns({"startunit": F.coalesce("startunit", F.lit(-1)), "endunit": F.coalesce("endunit", F.lit(-1))})
 

@@ -570,7 +570,7 @@ SELECT bookid, CAST(coalesce(arg_min(a, sectionno) FILTER (kind IN ({', '.join(S
 def reading_starts(spark: SparkSession, d: str) -> DataFrame:
     own = progress.section_rows(table(spark, d, "prediction"))
     placed = progress.units_in_sections(progress.unit_rows(table(spark, d, "prediction")), own)
-    ranges = repairs.unit_ranges(own.withColumn("parentno", F.lit(None).cast("int")), placed.where(F.col("sectionno").isNotNull()).select("bookid", "unitno", "sectionno"), depth=1)
+    ranges = repairs.unit_ranges(own.withColumn("parentno", F.lit(None).cast("int")), placed.where(F.col("sectionno").isNotNull()).select("bookid", "unitno", "sectionno"))
     return repairs.reading_starts(ranges).select("bookid", F.col("startunit").cast("int").alias("startunit"))
 
 

@@ -62,13 +62,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the cluster's spark.checkpoint.dir, else (tests, one machine) a fresh folder."""
+    """The shared folder for lineage cuts: the cluster's spark.checkpoint.dir, else, on one machine only, a fresh folder; a cluster without one is an error."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"quirefold-checkpoints-{uuid.uuid4().hex[:12]}")
     context.setCheckpointDir(named)
     return context.getCheckpointDir()

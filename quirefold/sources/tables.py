@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quirefold.session import cut
+
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines with a given schema; what cannot be read becomes a row of nulls with the text in ``_corrupt``."""
@@ -17,14 +19,35 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
 
 
+BUCKETS = 256  # folders of a table of books, whatever their number
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
+
+
 def write_books(df: DataFrame, path: str, key: str = "bookid") -> None:
-    """Put whole books: a book's partition is replaced, the others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Put whole books: a book that is there already is replaced, the others stay. Books share folders by hash, and only folders that get a book are written again."""
+    own = _bucketed(df, key)
+    try:
+        stored = df.sparkSession.read.parquet(path)
+    except Exception as missing:  # the first books make the table
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    else:
+        touched = stored.join(own.select("_bucket").distinct(), "_bucket", "left_semi").join(df.select(key).distinct(), key, "left_anti")
+        own = cut(own.unionByName(touched.select(own.columns)))
+    own.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
 
 def delete_books(spark: SparkSession, path: str, key: str, gone: DataFrame, to: str) -> None:
     """Write the books that are not in ``gone`` to another place."""
-    spark.read.parquet(path).join(gone.select(key).distinct(), key, "left_anti").write.mode("overwrite").partitionBy(key).parquet(to)
+    kept = spark.read.parquet(path).join(gone.select(key).distinct(), key, "left_anti")
+    kept.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(to)
 
 
 def parse_content(df: DataFrame, column: str, schema: str) -> DataFrame:
