@@ -109,3 +109,11 @@ def mixture_report(mixed: DataFrame, targets: DataFrame, key: str = "doc_id") ->
     per = per.withColumn("share", F.round(share, 6))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return targets.select("source", "targetshare", "maxrepeat").join(per, "source", "left").select("source", "targetshare", zero("share"), zero("n_tokens"), zero("n_rows"), zero("most_used"), "maxrepeat")
+
+
+def mixture_checked(mixed: DataFrame, targets: DataFrame, near: float = 0.01, key: str = "doc_id") -> DataFrame:
+    """Every target: whether its share is ``near`` what is asked and no document is used more often than allowed; and over all, places that are used twice or left out."""
+    report = mixture_report(mixed, targets, key)
+    off = mixed.agg((F.greatest(F.coalesce(F.max("place"), F.lit(0)), F.count("*")) - F.count_distinct("place")).alias("n_places_off"))
+    checked = report.select("source", "targetshare", (F.abs(F.col("share") - F.col("targetshare")) <= near).alias("is_near"), (F.col("most_used") <= F.col("maxrepeat")).alias("is_within"))
+    return checked.join(F.broadcast(off))  # one row

@@ -303,3 +303,12 @@ def packing_report(packed: DataFrame, capacity: int, ended: str = "") -> DataFra
         F.count("*").alias("n_containers"), F.coalesce(F.sum("held"), F.lit(0)).alias("n_tokens"), F.ceil(F.coalesce(F.sum("held"), F.lit(0)) / F.lit(capacity)).alias("least_containers"),
         F.round(1 - F.sum("held") / (F.count("*") * F.lit(float(capacity))), 6).alias("unused_share"), F.max("held").alias("fullest"), F.lit(ended).alias("ended"),
     )
+
+
+def packing_checked(packed: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+    """One row: documents, containers above the capacity, documents that are divided though one container holds them, and documents of which a part is missing."""
+    above = packed.groupBy("container").agg(F.sum("n_tokens").alias("held")).agg(F.count_if(F.col("held") > capacity).alias("n_above"))
+    per = packed.groupBy(key).agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"), F.count_if(F.col("tokenstart") != F.col("part") * capacity).alias("off"), F.max("part").alias("last"))
+    gap = (F.col("off") > 0) | (F.col("last") + 1 != F.col("parts")) | (F.col("parts") != F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1)))
+    docs = per.agg(F.count("*").alias("n_documents"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= capacity)).alias("n_divided"), F.count_if(gap).alias("n_gaps"))
+    return docs.join(F.broadcast(above)).select("n_documents", "n_above", "n_divided", "n_gaps")  # one row each

@@ -19,10 +19,28 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "manifest"))
 
 
+def p1_checksums(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs across the splits by checksum alone."""
+    pairs = overlap.cross_split_overlaps(table(spark, d, "manifest")).where("by = 'checksum'")
+    return pairs.select(F.least("id_e", "id_t").alias("ida"), F.greatest("id_e", "id_t").alias("idb")).where("ida <> idb").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.page_and_unit_sentences(table(spark, d, "page_extraction"), table(spark, d, "prediction"))
 
 
+def p2_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Visible characters of the texts of each kind, and how many of them the sentence units hold."""
+    found = sentences.page_and_unit_texts(table(spark, d, "page_extraction"), table(spark, d, "prediction")).distinct()
+    visible = lambda c: F.length(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", ""))
+    keys = ["itemkind", "bookid", "itemno", "id"]
+    own = found.withColumn("id", F.xxhash64("text"))
+    units = sentences.with_sentences(own.select(*keys, "text"), keys, "text")
+    held = units.join(own, keys).groupBy("itemkind").agg(F.sum(visible(F.expr("substring(text, sentstart + 1, sentend - sentstart)"))).cast("long").alias("in_units"))
+    whole = own.groupBy("itemkind").agg(F.sum(visible(F.col("text"))).cast("long").alias("letters"))
+    return whole.join(held, "itemkind").select("itemkind", "letters", "in_units")
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized_pieces(table(spark, d, "prediction"), table(spark, d, "annotation"), table(spark, d, "size_limit"))
 
@@ -100,6 +118,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(packed, capacity, ended)
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed, containers above the capacity, documents divided though they fit one, and documents with parts that leave a gap."""
+    return packing.packing_checked(p7_containers(spark, d), _capacity(spark, d))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
@@ -108,6 +131,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_report(p8_mixture(spark, d), table(spark, d, "mix_target"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Every target: its share is near what is asked, no document is used too often, and no place is used twice or left out."""
+    return mixing.mixture_checked(p8_mixture(spark, d), table(spark, d, "mix_target"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(table(spark, d, "documents"), labels=table(spark, d, "doc_label"))
 
@@ -130,6 +158,16 @@ OVERSIZED = """
 
 SQL = {
     "p3_found": f"{OVERSIZED} SELECT DISTINCT itemkind, bookid, CAST(no AS INT) AS itemno FROM over",
+    "p1_checksums": """
+        WITH r AS (SELECT DISTINCT id, split, regexp_replace(regexp_replace(lower(trim(sha256)), '^(sha-?256)?[:=\\s]*(0x)?', ''), '[\\s:-]', '', 'g') s, bytes FROM manifest WHERE sha256 IS NOT NULL),
+        k AS (SELECT DISTINCT id, split, s FROM r WHERE regexp_matches(s, '^[0-9a-f]{64}$') AND s <> 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' AND (bytes IS NULL OR bytes <> 0))
+        SELECT DISTINCT least(a.id, b.id) AS ida, greatest(a.id, b.id) AS idb FROM k a JOIN k b ON a.s = b.s AND a.id <> b.id WHERE a.split = 'discovery' AND b.split IN ('development', 'locked-test', 'control')""",
+    "p2_invariants": """
+        WITH t AS (SELECT DISTINCT 'page' AS itemkind, bookid, pageindex AS no, text FROM page_extraction WHERE text <> '' UNION ALL
+        SELECT DISTINCT 'unit', bookid, no, u.text FROM (SELECT bookid, unnest(readingunits) u, generate_subscripts(readingunits, 1) no FROM prediction) WHERE u.text <> ''),
+        n AS (SELECT itemkind, CAST(sum(length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))) AS BIGINT) n FROM t GROUP BY 1) SELECT itemkind, n AS letters, n AS in_units FROM n""",
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_above, CAST(0 AS BIGINT) AS n_divided, CAST(0 AS BIGINT) AS n_gaps FROM documents",
+    "p8_invariants": "SELECT source, targetshare, TRUE AS is_near, TRUE AS is_within, CAST(0 AS BIGINT) AS n_places_off FROM mix_target",
     "p4_invariants": "SELECT split, share AS target, TRUE AS is_near, CAST(0 AS BIGINT) AS n_apart, CAST(0 AS BIGINT) AS n_wrong FROM split_target",
     "p3_invariants": f"{OVERSIZED} SELECT itemkind, count(*) AS n_items, CAST(0 AS BIGINT) AS n_above, CAST(0 AS BIGINT) AS n_overlap_off, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_low FROM over GROUP BY itemkind",
 }

@@ -382,9 +382,14 @@ def with_sentences(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return own.mapInArrow(_run, f"{kinds}, sentstart int, sentend int")
 
 
-def page_and_unit_sentences(pages: DataFrame, predictions: DataFrame) -> DataFrame:
-    """The sentence units of every page's text and of every reading unit."""
+def page_and_unit_texts(pages: DataFrame, predictions: DataFrame) -> DataFrame:
+    """itemkind, bookid, itemno, text of every page and every reading unit that has one."""
     a = pages.select(F.lit("page").alias("itemkind"), "bookid", F.col("pageindex").cast("int").alias("itemno"), "text")
     b = predictions.select("bookid", F.posexplode("readingunits").alias("itemno", "u")).select(F.lit("unit").alias("itemkind"), "bookid", "itemno", F.col("u.text").alias("text"))
+    return a.unionByName(b).where(F.length("text") > 0)
+
+
+def page_and_unit_sentences(pages: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The sentence units of every page's text and of every reading unit."""
     # Repeated rows are few; their sentences are dropped at the end, so that no text is shuffled.
-    return with_sentences(a.unionByName(b), ["itemkind", "bookid", "itemno"], "text").distinct()
+    return with_sentences(page_and_unit_texts(pages, predictions), ["itemkind", "bookid", "itemno"], "text").distinct()

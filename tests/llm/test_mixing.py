@@ -51,3 +51,11 @@ def test_long_documents_in_flight_wait(spark):
     assert 1480 <= sum(r.n_tokens for r in rows) <= 1500 and max(Counter(r.doc_id for r in rows).values()) == 1
     assert all(abs(r.share - 0.5) < 0.01 for r in mixing.mixture_report(mixed, aims).collect())
     assert any(r.n_tokens > 30 for r in rows)
+
+
+def test_checks_find_what_is_wrong(spark):
+    aims = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, targetshare double, maxrepeat int")
+    kind = "place long, doc_id long, copy int, source string, n_tokens long"
+    rows = lambda *r: {x.source: tuple(x)[2:] for x in mixing.mixture_checked(spark.createDataFrame(list(r), kind), aims).collect()}
+    assert rows((1, 1, 0, "a", 4), (2, 9, 0, "b", 2), (3, 9, 1, "b", 2)) == {"a": (True, True, 0), "b": (True, True, 0)}
+    assert rows((1, 1, 0, "a", 4), (1, 1, 1, "a", 4), (4, 9, 0, "b", 2)) == {"a": (False, False, 2), "b": (False, True, 2)}

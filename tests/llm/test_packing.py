@@ -91,3 +91,11 @@ def test_documents(spark):
     report = packing.packing_report(packing.pack(docs, 64), 64).first()
     assert report.n_containers >= report.least_containers and report.fullest <= 64
     assert packing.pack(docs.limit(0), 64).count() == 0
+
+
+def test_checks_find_what_is_wrong(spark):
+    kind = "doc_id long, part int, container long, n_tokens long, tokenstart long"
+    good = spark.createDataFrame([(1, 0, 0, 6, 0), (2, 0, 0, 4, 0), (3, 0, 1, 10, 0), (3, 1, 2, 3, 10), (4, 0, 0, 0, 0)], kind)
+    assert tuple(packing.packing_checked(good, 10).first()) == (4, 0, 0, 0)
+    bad = spark.createDataFrame([(1, 0, 0, 6, 0), (2, 0, 0, 5, 0), (3, 0, 1, 4, 0), (3, 1, 2, 3, 10), (4, 1, 3, 2, 10)], kind)
+    assert tuple(packing.packing_checked(bad, 10).first()) == (4, 1, 1, 2)
