@@ -114,7 +114,9 @@ def born_digital(pages: DataFrame) -> DataFrame:
     k = F.least(F.lit(11), F.col("n"))
     spots = F.array_distinct(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.bround(i * F.col("last") / F.greatest(F.lit(1), k - 1)).cast("int")))
     wanted = sizes.select("bookid", F.explode(spots).alias("pageindex"))
-    seen = wanted.join(pages.groupBy("bookid", "pageindex").agg(F.max(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), f"{T.WS}+", ""))).alias("chars")), ["bookid", "pageindex"], "left")
+    sampled = pages.select("bookid", "pageindex", "text").join(wanted, ["bookid", "pageindex"], "left_semi")  # only these texts are measured
+    chars = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), f"{T.WS}+", ""))
+    seen = wanted.join(sampled.groupBy("bookid", "pageindex").agg(F.max(chars).alias("chars")), ["bookid", "pageindex"], "left")
     per = seen.groupBy("bookid").agg(F.count("*").alias("n_sampled"), F.round(F.sum((F.coalesce("chars", F.lit(0)) >= 50).cast("int")) / F.count("*"), 4).alias("textratio"), F.round(F.sum(F.coalesce("chars", F.lit(0))) / F.count("*"), 4).alias("meanchars"))
     return per.withColumn("borndigital", (F.col("textratio") >= 0.7) & (F.col("meanchars") >= 100))
 

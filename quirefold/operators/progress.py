@@ -174,8 +174,10 @@ def chapter_units(chapters: DataFrame, units: DataFrame, pages: DataFrame) -> Da
     else the first unit of a later page.
     """
     nav = lambda c: T.key(T.navigation_title(c))
+    chapters = cut(chapters)
     own = chapters.select("bookid", "chapterno", "pageindex", "endline", nav(F.col("title")).alias("_title"))
     u = units.where(F.length(F.trim("text")) > 0).select("bookid", "unitno", F.col("pageindex"), nav(F.col("text")).alias("_key"))
+    u = cut(u)  # read by every way of finding a chapter's unit
     here = own.join(u, ["bookid", "pageindex"])
     titled = here.where(F.contains("_key", F.col("_title"))).groupBy("bookid", "chapterno").agg(F.min("unitno").alias("u1"))
     body = F.array_join(F.slice(F.split("text", "\n"), F.col("endline") + 1, 1_000_000), " ")
@@ -184,7 +186,15 @@ def chapter_units(chapters: DataFrame, units: DataFrame, pages: DataFrame) -> Da
     probes = behind.select("bookid", "chapterno", "pageindex", F.posexplode(F.transform(spots, lambda i: F.substring(F.col("_behind"), i + 1, PROBE))).alias("no", "probe"))
     on_page = probes.join(u, ["bookid", "pageindex"]).where(F.contains("_key", F.col("probe")))
     paged = here.select("bookid", "chapterno").distinct()
-    anywhere = probes.join(paged, ["bookid", "chapterno"], "left_anti").join(u.drop("pageindex"), "bookid").where(F.contains("_key", F.col("probe")))
+    lost = cut(probes.join(paged, ["bookid", "chapterno"], "left_anti"))
+    # A unit that holds a probe holds the run of three words inside it; a probe of fewer whole words meets its book's units.
+    whole = F.slice(F.split("probe", " "), 2, F.greatest(F.size(F.split("probe", " ")) - 2, F.lit(0)))
+    lost = lost.withColumn("gram", F.when(F.size(whole) >= 3, F.array_join(F.slice(whole, 1, 3), " ")))
+    grams = u.select("bookid", "unitno", F.explode(T.context_grams(F.col("_key"))).alias("gram")).join(lost.select("bookid", "gram").distinct(), ["bookid", "gram"], "left_semi")
+    met = lost.where("gram is not null").join(grams, ["bookid", "gram"]).join(u.drop("pageindex"), ["bookid", "unitno"])
+    few = lost.where("gram is null").join(u.drop("pageindex"), "bookid")
+    held = ["bookid", "chapterno", "no", "probe", "unitno", "_key"]
+    anywhere = met.select(*held).unionByName(few.select(*held)).where(F.contains("_key", F.col("probe")))
     probed = on_page.select("bookid", "chapterno", "no", "unitno").unionByName(anywhere.select("bookid", "chapterno", "no", "unitno")).groupBy("bookid", "chapterno").agg(F.min(F.struct("no", "unitno")).alias("b")).select("bookid", "chapterno", F.col("b.unitno").alias("u2"))
     first = here.groupBy("bookid", "chapterno").agg(F.min("unitno").alias("u3"))
     minus = u.select("bookid", (-F.col("pageindex")).alias("_minus"), F.struct((-F.col("unitno")).alias("u")).alias("_later"))

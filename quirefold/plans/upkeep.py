@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import inventory, layout, progress, repairs, scans, scorecard, units
+from quirefold.operators import inventory, layout, progress, repairs, scans, scorecard
 from quirefold.plans import catalog as C
 from quirefold.plans import sqltext as S
 from quirefold.plans.catalog import query
-from quirefold.session import checkpoint_dir, table
-from quirefold.sources import tables
+from quirefold.session import checkpoint_dir, cut, table
+from quirefold.sources import epub, tables
+from quirefold.streaming import ingest
 
 LETTERS = "[^\\p{L}\\p{N}]+"
 
@@ -244,3 +245,31 @@ def margin_keys(spark: SparkSession, d: str) -> DataFrame:
     pages = C.page_pages(spark, d)
     lines = layout.text_lines(pages).withColumn("text", T.clean_line(F.col("text"))).where("text <> ''")
     return layout.running_clusters(lines, pages).select("bookid", "band", "key", "n_pages")
+
+
+# --- streams and archives -------------------------------------------------------------------------------------------
+
+
+@query("SELECT bookid, count(DISTINCT pageindex) AS n_pages, min(ingestedat) AS since FROM page_extraction GROUP BY 1")
+def streamed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Page deliveries read as a stream and folded into a table, each page once."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/page_extraction.parquet")
+    folder = source.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(source).isDirectory()
+    schema = table(spark, d, "page_extraction").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(source.toString()) if folder else None
+    if stream is None:
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "page_extraction.parquet").parquet(d)
+    at = f"{checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex[:12]}"
+    ingest.fold(stream, f"{at}/pages", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/pages").groupBy("bookid").agg(F.count("*").alias("n_pages"), F.min("ingestedat").alias("since"))
+
+
+@query(f"SELECT file, headings + paragraphs AS n_blocks, headings + paragraphs AS n_found FROM ({C.SQL['epub_round_trip']})")
+def epub_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every block of every archive found again in a second reading of it."""
+    blocks = epub.book_blocks(epub.read_books(C._packed_documents(spark, d)))
+    own = blocks.select(F.col("file").alias("bookid"), "blockno", "path", "sourcestart", F.substring(T.context_key(F.col("text")), 1, 240).alias("contexttext")).withColumn("contexthash", T.context_hash("contexttext"))
+    own = cut(own)
+    found = progress.remap_in_documents(own.withColumnRenamed("blockno", "anchorid"), own.withColumnRenamed("blockno", "unitno"))
+    per = found.groupBy("bookid").agg(F.count_if(F.col("unitno") == F.col("anchorid")).alias("n_found"))
+    return own.groupBy("bookid").agg(F.count("*").alias("n_blocks")).join(per, "bookid").select(F.col("bookid").alias("file"), "n_blocks", "n_found")
