@@ -19,3 +19,13 @@ def spark():
     session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
+
+
+@pytest.fixture()
+def compiled(spark):
+    """The settings of production: plans are compiled, as results must not depend on the planner's path."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK")
+    yield spark
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")

@@ -1,10 +1,13 @@
 import bisect
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quirefold.operators import scans
 
+pytestmark = pytest.mark.usefixtures("compiled")
+
 
 def test_running_sum_over_chunks(spark):
     rng = random.Random(1)
