@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import inventory, layout, progress, repairs, scans, scorecard
+from quirefold.operators import inventory, layout, progress, repairs, scans, scorecard, units
 from quirefold.plans import catalog as C
 from quirefold.plans import sqltext as S
 from quirefold.plans.catalog import query
@@ -273,3 +273,41 @@ def epub_places(spark: SparkSession, d: str) -> DataFrame:
     found = progress.remap_in_documents(own.withColumnRenamed("blockno", "anchorid"), own.withColumnRenamed("blockno", "unitno"))
     per = found.groupBy("bookid").agg(F.count_if(F.col("unitno") == F.col("anchorid")).alias("n_found"))
     return own.groupBy("bookid").agg(F.count("*").alias("n_blocks")).join(per, "bookid").select(F.col("bookid").alias("file"), "n_blocks", "n_found")
+
+
+# --- small functions ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {C.ONE_RECORD}, n AS (SELECT id, url_decode(replace(regexp_extract(downloadurl, '([^/?#]*)(?:[?#].*)?$', 1), '+', '%2B')) f FROM man1)
+SELECT id, f AS file, regexp_replace(f, '\\.[^.]+$', '') AS stem FROM n""")
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the files that records were downloaded as, with and without their extension."""
+    name = T.file_name(F.col("downloadurl"))
+    return C.records(spark, d).select("id", name.alias("file"), T.strip_extension(name).alias("stem"))
+
+
+def _any(kinds: tuple[str, ...]) -> str:
+    return ", ".join(S.lit(k) for k in kinds)
+
+
+@query(f"""WITH {C.SECTIONS} SELECT CASE WHEN kind IN ({_any(T.FRONT_KINDS)}) THEN 'frontMatter' WHEN kind IN ({_any(T.BACK_KINDS)}) THEN 'backMatter' WHEN kind IN ('part', 'section') THEN kind WHEN kind IS NOT NULL THEN 'chapter' END AS navkind, count(*) AS n FROM sections GROUP BY 1""")
+def navigation_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return progress.section_rows(table(spark, d, "prediction")).groupBy(T.navigation_kind(F.col("kind")).alias("navkind")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {C.ONE_RECORD} SELECT id, greatest(0.0, least(1.0, coalesce(CASE WHEN isnan(textpageratio) THEN NULL ELSE textpageratio END, 0.0)))::DOUBLE AS ratio, CAST(greatest(0, least(500, coalesce(pagecount, 0))) AS INT) AS pages FROM man1")
+def clamped_numbers(spark: SparkSession, d: str) -> DataFrame:
+    own = C.records(spark, d)
+    return own.select("id", T.clamp(F.col("textpageratio"), F.lit(0.0), F.lit(1.0)).alias("ratio"), T.clamp(F.col("pagecount"), F.lit(0), F.lit(500)).cast("int").alias("pages"))
+
+
+@query("""WITH o AS (SELECT DISTINCT bookid, pageindex, spanindex, lineindex, sourcestart s, sourceend e FROM text_span), l AS (SELECT bookid, pageindex, lineindex, min(s) s, max(e) e FROM o GROUP BY 1, 2, 3), f AS (SELECT bookid, pageindex, min_by(lineindex, (s, e)) i FROM l GROUP BY 1, 2),
+u AS (SELECT bookid, pageindex, s, max_by(lineindex, (e, lineindex)) i FROM l GROUP BY 1, 2, 3)
+SELECT o.bookid, o.pageindex, o.spanindex, coalesce(u.i, f.i) AS lineindex FROM o ASOF LEFT JOIN u ON o.bookid = u.bookid AND o.pageindex = u.pageindex AND (o.s + o.e) // 2 >= u.s LEFT JOIN f ON f.bookid = o.bookid AND f.pageindex = o.pageindex""")
+def span_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The line that holds each span's middle, by the lines' ranges."""
+    once = table(spark, d, "text_span").select("bookid", "pageindex", "spanindex", "lineindex", F.col("sourcestart").alias("s"), F.col("sourceend").alias("e")).distinct()
+    lines = once.groupBy("bookid", "pageindex", "lineindex").agg(F.min("s").alias("start"), F.max("e").alias("end"))
+    page = lines.groupBy("bookid", "pageindex").agg(F.array_sort(F.collect_list(F.struct("start", "end", "lineindex"))).alias("segments"))  # the lines of one page
+    middle = F.expr("(s + e) div 2").cast("int")
+    return once.join(page, ["bookid", "pageindex"]).select("bookid", "pageindex", "spanindex", units.segment_at(F.col("segments"), middle)["lineindex"].alias("lineindex"))
