@@ -576,7 +576,8 @@ def reading_starts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def unsteady_progress(spark: SparkSession, d: str) -> DataFrame:
-    return repairs.unsteady_progress(progress.progress(_offsets(spark, d)))
+    found = repairs.unsteady_progress(progress.progress(_offsets(spark, d)))
+    return found.select("bookid", "unitno", F.round("fraction", 6).alias("fraction"), F.round("before", 6).alias("before"))
 
 
 @query()

@@ -229,13 +229,6 @@ def steadiness(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("bookid").agg(F.count("*").alias("units")).join(bad, "bookid", "left").select("bookid", "units", F.coalesce("unsteady", F.lit(0)).alias("unsteady"))
 
 
-@query(f"""SELECT * FROM (WITH o AS ({C.SQL['reading_progress']}), b AS (SELECT *, lag(fraction) OVER (PARTITION BY bookid ORDER BY unitno) p FROM o) SELECT bookid, unitno, fraction, p AS before FROM b WHERE p > fraction OR fraction < 0 OR fraction > 1)""")
-def unsteady_units(spark: SparkSession, d: str) -> DataFrame:
-    """Units at which progress falls: none in a right parse."""
-    found = repairs.unsteady_progress(progress.progress(C._offsets(spark, d)))
-    return found.select("bookid", "unitno", F.round("fraction", 6).alias("fraction"), F.round("before", 6).alias("before"))
-
-
 @query(f"""WITH {C.ONE_PAGE}, l AS (SELECT bookid, pageindex, unnest(regexp_split_to_array(coalesce(text, ''), '\\r?\\n')) t, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\\r?\\n'), 1) - 1 i, len(regexp_split_to_array(coalesce(text, ''), '\\r?\\n')) n, CASE WHEN height > 0 AND NOT isnan(height) THEN height ELSE 792.0 END h FROM pages1),
 y AS (SELECT bookid, pageindex, {S.clean_line('t')} t, (64.0 + least(16.0, (h - 64) / n) * i)::DOUBLE / greatest(1.0, h) AS rel FROM l WHERE regexp_matches(t, '[^\\t\\n\\x0b\\f\\r ]')),
 e AS (SELECT bookid, pageindex, CASE WHEN rel <= 0.14 THEN 'top' ELSE 'bottom' END AS band, {S.furniture_key('t')} AS key FROM y WHERE t <> '' AND NOT (rel > 0.14 AND rel < 0.86) AND NOT (regexp_matches(t, {S.lit(T.PROSE_END)}) AND {S.count_words('t')} > 8))
@@ -311,3 +304,22 @@ def span_segments(spark: SparkSession, d: str) -> DataFrame:
     page = lines.groupBy("bookid", "pageindex").agg(F.array_sort(F.collect_list(F.struct("start", "end", "lineindex"))).alias("segments"))  # the lines of one page
     middle = F.expr("(s + e) div 2").cast("int")
     return once.join(page, ["bookid", "pageindex"]).select("bookid", "pageindex", "spanindex", units.segment_at(F.col("segments"), middle)["lineindex"].alias("lineindex"))
+
+
+# --- SQL of queries of the catalogue --------------------------------------------------------------------------------
+
+C.SQL["unsteady_progress"] = f"""SELECT * FROM (WITH o AS ({C.SQL['reading_progress']}), b AS (SELECT *, lag(fraction) OVER (PARTITION BY bookid ORDER BY unitno) p FROM o)
+SELECT bookid, unitno, fraction, p AS before FROM b WHERE p > fraction OR fraction < 0 OR fraction > 1)"""
+
+
+def _sql_words(x: str) -> str:
+    broken = S.sub(f"nfc_normalize(strip_accents({S.nfkc(x)}))", "(\\p{L})[-‐][\\t\\x0b\\f\\r ]*\\n[\\t\\n\\x0b\\f\\r ]*(\\p{L})", "\\1\\2")
+    return f"regexp_extract_all({S.sub(S.sub(f'lower({broken})', '[’' + chr(39) + chr(173) + ']'), '[' + chr(92) + 'p{M}]')}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+C.SQL["scan_votes"] = f"""WITH {C.ONE_PAGE}, {C.UNITS}, q AS (SELECT bookid, pageindex AS scanid, ({_sql_words("coalesce(text, '')")})[1:400] w FROM pages1 WHERE pageindex % 50 = 0),
+a AS (SELECT bookid, scanid, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] g FROM (SELECT *, unnest(range(0, len(w) - 2)) i FROM q WHERE len(w) >= 16 AND len(list_distinct(w)) >= 10)),
+u AS (SELECT bookid, unitno, unnest(w) word, generate_subscripts(w, 1) k FROM (SELECT bookid, unitno, {_sql_words("coalesce(u.text, '')")} w FROM units)),
+p AS (SELECT bookid, word, row_number() OVER (PARTITION BY bookid ORDER BY unitno, k) - 1 AS pos FROM u), t AS (SELECT bookid, pos, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS g FROM p WINDOW o AS (PARTITION BY bookid ORDER BY pos)),
+r AS (SELECT bookid, g FROM t WHERE g IS NOT NULL GROUP BY 1, 2 HAVING count(*) <= 80)
+SELECT a.bookid, a.scanid, CAST(floor((t.pos - a.i) / 32) AS BIGINT) AS bucket, count(*) AS n FROM a JOIN r ON r.bookid = a.bookid AND r.g = a.g JOIN t ON t.bookid = a.bookid AND t.g = a.g GROUP BY 1, 2, 3 HAVING count(*) >= 2"""
