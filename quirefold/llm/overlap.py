@@ -137,6 +137,13 @@ def _gram_values(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return value, row[at], place[at], size
 
 
+def _signatures(keys: pa.Array) -> np.ndarray:
+    """A bit for each of 64 classes of letters: whether they occur an odd number of times. A slip turns two bits at most. Keys must not be empty."""
+    cps, starts = code_points(keys)
+    bits = np.uint64(1) << (((cps.astype(np.uint64) + np.uint64(1)) * MIX) >> np.uint64(58))
+    return np.bitwise_xor.reduceat(bits, starts[:-1]) if len(cps) else np.zeros(0, np.uint64)
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         value, row, _, _ = _gram_values(batch.column(0))
@@ -163,9 +170,10 @@ def _prefixes(counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             row = row[kept]
             rest = batch.select(["kid", "in_e", "in_t"]).take(pa.array(row))
             salts = 1 + n_t[bucket[kept]] // HOT_GRAM
+            sign = _signatures(batch.column(0)).view(np.int64)[row]
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(size[row].astype(np.int32)), pa.array(value[kept].view(np.int64)), pa.array(place[kept].astype(np.int32)), pa.array(salts.astype(np.int32))],
-                names=["kid", "in_e", "in_t", "len", "gram", "pos", "salts"],
+                [*rest.columns, pa.array(size[row].astype(np.int32)), pa.array(value[kept].view(np.int64)), pa.array(place[kept].astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(sign)],
+                names=["kid", "in_e", "in_t", "len", "gram", "pos", "salts", "sign"],
             )
 
     return run
@@ -181,7 +189,7 @@ def near_keys(keys: DataFrame) -> DataFrame:
 
     ``keys`` has distinct key (string), in_e, in_t (boolean). Empty keys meet nothing. Grams are counted in 2**20 buckets, a table whose size
     does not depend on the data, and each key's rarest ones are picked where the key is; only those that the other split may have
-    are shuffled, without their keys. A gram of many training keys is met by several tasks. Grams that are hashed alike can only
+    are shuffled, without their keys but with a signature of their letters that sorts out most candidates where they meet. A gram of many training keys is met by several tasks. Grams that are hashed alike can only
     add candidates, which the edit distance sorts out.
     """
     spark = keys.sparkSession
@@ -191,12 +199,13 @@ def near_keys(keys: DataFrame) -> DataFrame:
     counted = long_.select("key", "in_e", "in_t").mapInArrow(_count_grams, "bucket int, n_e long, n_t long").groupBy("bucket").agg(F.sum("n_e").alias("n_e"), F.sum("n_t").alias("n_t")).toArrow()
     counts = np.zeros((2, 1 << (64 - int(BUCKET_SHIFT))), np.int64)
     counts[:, counted.column("bucket").to_numpy()] = [counted.column(c).to_numpy() for c in ("n_e", "n_t")]
-    prefix = cut(long_.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), "kid long, in_e boolean, in_t boolean, len int, gram long, pos int, salts int"))
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("kid", "len", "pos")]
+    prefix = cut(long_.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), "kid long, in_e boolean, in_t boolean, len int, gram long, pos int, salts int, sign long"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("kid", "len", "pos", "sign")]
     e = prefix.where("in_e").select("gram", *side("e"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     t = prefix.where("in_t").select("gram", *side("t"), F.pmod("kid", "salts").cast("int").alias("salt"))
     k = F.when(F.least("len_e", "len_t") < 24, 1).otherwise(2)  # see slips; shorter keys have no grams here
-    pairs = e.join(t, ["gram", "salt"]).where((F.abs(F.col("len_e") - F.col("len_t")) <= k) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= k) & (F.col("kid_e") != F.col("kid_t")))
+    alike = F.bit_count(F.col("sign_e").bitwiseXOR(F.col("sign_t"))) <= 2 * k
+    pairs = e.join(t, ["gram", "salt"]).where(alike & (F.abs(F.col("len_e") - F.col("len_t")) <= k) & (F.abs(F.col("pos_e") - F.col("pos_t")) <= k) & (F.col("kid_e") != F.col("kid_t")))
     pairs = pairs.select("kid_e", "kid_t", k.alias("k")).distinct()
     pairs = pairs.join(own.where("in_e").select(F.col("kid").alias("kid_e"), F.col("key").alias("key_e")), "kid_e").join(own.where("in_t").select(F.col("kid").alias("kid_t"), F.col("key").alias("key_t")), "kid_t")
     pairs = pairs.select("key_e", "key_t", "k")

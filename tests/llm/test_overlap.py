@@ -82,3 +82,19 @@ def test_prefix_join_loses_no_pair(spark):
     most = lambda k: 0 if len(k) < 10 else 1 if len(k) < 24 else 2
     want = {(a, b) for (a, e, _), (b, _, t) in itertools.product(rows, rows) if e and t and _slow_distance(a, b) <= min(most(a), most(b))}
     assert found == want
+
+
+def test_signatures_bound_slips():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for _ in range(200):
+        a = [rng.choice("abcdefghijé字") for _ in range(rng.randint(10, 30))]
+        b = list(a)
+        for _ in range(2):
+            i = rng.randrange(len(b) - 1)
+            b = rng.choice([b[:i] + b[i + 1 :], b[:i] + ["q"] + b[i:], b[:i] + ["z"] + b[i + 1 :], b[:i] + [b[i + 1], b[i]] + b[i + 2 :]])
+        x, y = overlap._signatures(pa.array(["".join(a), "".join(b)]))
+        assert bin(int(x) ^ int(y)).count("1") <= 4
